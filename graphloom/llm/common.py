@@ -103,15 +103,16 @@ def byte_set(chars: bytes) -> np.ndarray:
 SPACE_TABLE = byte_set(WHITE_SPACE)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE_TABLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE_TABLE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hash and first byte of each word (maximal run of bytes outside breaks), and the index of each row's first word.
 
-    A word never spans two rows. All rows are handled at once: the hash is a
+    With prefixes, also a column of hashes for each of these lengths in bytes, 0 where
+    the word is shorter. A word never spans two rows. All rows are handled at once: the hash is a
     difference of prefix sums of a polynomial modulo 2**64, then mixed.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), *([np.zeros((0, len(prefixes)), np.uint64)] if prefixes else [])
     inside = ~breaks[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
@@ -120,8 +121,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPAC
     up, down = _power_tables(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    words = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * GOLDEN)
-    return words, starts, np.searchsorted(starts, offsets)
+
+    def hashes(ends: np.ndarray) -> np.ndarray:
+        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * GOLDEN)
+
+    found = hashes(ends), starts, np.searchsorted(starts, offsets)
+    if not prefixes:
+        return found
+    return *found, np.stack([np.where(starts + k <= ends, hashes(np.minimum(starts + k, n)), np.uint64(0)) for k in prefixes], axis=1)
 
 
 def window_hashes(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

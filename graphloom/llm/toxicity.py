@@ -1,15 +1,17 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A logistic model scores each sentence from
-its words; the document's score is the noisy-or of its sentences' scores,
+its words and their prefixes (stems carry the insult in inflected words); the document's score is the noisy-or of its sentences' scores,
 1 - prod(1 - p). Only document labels are needed: the gradient of the document
 likelihood runs through the noisy-or, so it lands on the sentences that
 explain the label, which then can be located.
 
 Learning: about per_label (2,500) labelled documents of each label, chosen by
 a hash of their ids, are turned into word hashes on the executors; the
-driver fits one weight for each of 2**HASH_BITS word hashes. That bound holds
-at any input size. Scoring covers every document and every sentence.
+driver fits one weight for each of 2**HASH_BITS hashes. That bound holds
+at any input size. The labels' weights give toxic documents the square root of
+their odds among all labelled rows: half-way (in log-odds) between even classes, which would
+reject too many clean documents, and the rows' own shares, which would pass too many toxic ones. Scoring covers every document and every sentence.
 
 Defined cases: a text without a word (null, empty, marks only) has score 0 and
 no sentences; equal texts have equal scores; with no labelled rows, or only one
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import byte_set, extended, hash_share, row_ranges, text_buffers, word_hashes
 
-HASH_BITS = 18
+HASH_BITS = 20
+NOTHING = 1 << HASH_BITS  # the bucket of a prefix that a word is too short for
+PREFIXES = (4, 5, 6, 7, 8)
 CHUNK = 1 << 20
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 NO_WORD = byte_set(bytes(c for c in range(128) if not chr(c).isalnum()))
@@ -37,16 +41,18 @@ SENTENCE_END = byte_set(b".!?\n")
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets; first word of each sentence with words, plus the end; each row's first sentence, plus the end; first byte of each sentence's first word."""
-    hashes, starts, bounds = word_hashes(LOWER[data], offsets, NO_WORD)
+    """Buckets of each word and its prefixes; first word of each sentence with words, plus the end; each row's first sentence, plus the end; first byte of each sentence's first word."""
+    hashes, starts, bounds, heads = word_hashes(LOWER[data], offsets, NO_WORD, PREFIXES)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, 1 + len(PREFIXES)), np.int64), np.zeros(1, np.int64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     part = np.cumsum(SENTENCE_END[data])[starts]
     new = np.ones(len(starts), bool)
     new[1:] = part[1:] != part[:-1]
     new[bounds[:-1][bounds[:-1] < len(starts)]] = True
     first = np.flatnonzero(new)
-    return (hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64), np.append(first, len(starts)), np.searchsorted(first, bounds), starts[first]
+    buckets = np.concatenate((hashes[:, None], heads), axis=1)
+    buckets = np.where(buckets == 0, NOTHING, (buckets >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+    return buckets, np.append(first, len(starts)), np.searchsorted(first, bounds), starts[first]
 
 
 @dataclass
@@ -58,7 +64,7 @@ class BagModel:
     def sentence_scores(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(first) - 1, self.constant)
-        total = np.add.reduceat(self.weights[buckets], first[:-1]) if len(first) > 1 else np.zeros(0)
+        total = np.add.reduceat(self.weights[buckets].sum(axis=1), first[:-1]) if len(first) > 1 else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
     def document_scores(self, scores: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -66,19 +72,24 @@ class BagModel:
         return 1 - np.exp(np.minimum(logs[rows[1:]] - logs[rows[:-1]], 0))
 
 
-def fit(buckets: np.ndarray, first: np.ndarray, rows: np.ndarray, label: np.ndarray, rounds: int = 120, rate: float = 0.3, penalty: float = 2e-4) -> BagModel:
-    """Maximum likelihood of the document labels by AdaGrad on the whole sample; words of fewer than 3 documents are left out."""
+def fit(buckets: np.ndarray, first: np.ndarray, rows: np.ndarray, label: np.ndarray, prior: float | None = None, rounds: int = 150, rate: float = 0.3, documents: float = 0.3) -> BagModel:
+    """Penalised likelihood of the document labels by proximal AdaGrad on the whole sample; prior is the toxic share that the labels are weighed to. Words of fewer than 3 documents are left out; the absolute penalty
+    drops a word that does not pull as hard as so many whole toxic documents do."""
     if not len(label) or label.min() == label.max():
         return BagModel(np.zeros(0), 0.0, float(label[0]) if len(label) else 0.0)
-    sentence_of, row_of = np.repeat(np.arange(len(first) - 1), np.diff(first)), np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    sentence_of, row_of = np.repeat(np.arange(len(first) - 1), np.diff(first) * buckets.shape[1]), np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    buckets = buckets.ravel()
+    sentence_of, buckets = sentence_of[buckets != NOTHING], buckets[buckets != NOTHING]
     pair = np.unique(buckets * len(label) + row_of[sentence_of])
-    spread = np.bincount(pair // len(label), minlength=1 << HASH_BITS)
+    spread = np.bincount(pair // len(label), minlength=NOTHING)
     use = spread[buckets] >= 3
     buckets, sentence_of = buckets[use], sentence_of[use]
     words, local = np.unique(buckets, return_inverse=True)
     weight, bias, square, square_bias = np.zeros(len(words)), -4.0, np.full(len(words), 1e-6), 1e-6
     share = label.mean()
-    importance = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)) / len(label)
+    prior = share if prior is None else prior
+    importance = np.where(label == 1, prior / share, (1 - prior) / (1 - share)) / len(label)
+    penalty = documents * prior / label.sum()
     for _ in range(rounds):
         total = np.bincount(sentence_of, weight[local], minlength=len(first) - 1) + bias
         p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
@@ -86,12 +97,14 @@ def fit(buckets: np.ndarray, first: np.ndarray, rows: np.ndarray, label: np.ndar
         # d log-likelihood / d score of a sentence: p (1 - P) / P for a toxic document, -p for a clean one.
         pull = np.where(label == 1, none / np.maximum(1 - none, 1e-9), -1.0) * importance
         slope = p * pull[row_of]
-        grad = np.bincount(local, slope[sentence_of], minlength=len(words)) - penalty * weight / len(words)
+        grad = np.bincount(local, slope[sentence_of], minlength=len(words))
         square += grad**2
-        weight += rate * grad / np.sqrt(square)
+        step = rate / np.sqrt(square)
+        weight += step * grad
+        weight = np.sign(weight) * np.maximum(np.abs(weight) - step * penalty, 0)
         square_bias += slope.sum() ** 2
         bias += rate * slope.sum() / np.sqrt(square_bias)
-    full = np.zeros(1 << HASH_BITS)
+    full = np.zeros(NOTHING + 1)
     full[words] = weight
     return BagModel(full, float(bias))
 
@@ -111,12 +124,12 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_l
 
     found = labelled.filter(hash_share(F.col("id"), 7) < limit).select("text", "label").mapInArrow(bags, "buckets binary, first binary, rows binary, label binary").collect()
     blocks = [[np.frombuffer(x, "<i4").astype(np.int64) for x in r] for r in found]
-    buckets, first, rows, label = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+    buckets, first, rows, label = [np.zeros((0, 1 + len(PREFIXES)), np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
     words = parts = 0
     for b, f, r, y in blocks:
-        buckets.append(b), first.append(f[1:] + words), rows.append(r[1:] + parts), label.append(y)
+        buckets.append(b.reshape(-1, 1 + len(PREFIXES))), first.append(f[1:] + words), rows.append(r[1:] + parts), label.append(y)
         words, parts = words + len(b), parts + len(f) - 1
-    return fit(*(np.concatenate(x) for x in (buckets, first, rows, label)))
+    return fit(*(np.concatenate(x) for x in (buckets, first, rows, label)), prior=1 / (1 + (n.get(0, 0) / max(1, n.get(1, 0))) ** 0.5))
 
 
 def score(df: DataFrame, model: BagModel, id_col: str, text_col: str, *keep: Column) -> DataFrame:
