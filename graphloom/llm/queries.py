@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, packing, pieces, toxicity, trie_dedup, url_filter
-from graphloom.llm.common import held_out, read_table
+from graphloom.llm import language, packing, pieces, quality, secret_scan, toxicity, trie_dedup, url_filter
+from graphloom.llm.common import checkpoint, held_out, read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,12 +20,25 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = checkpoint(quality.features(read_table(spark, sf_dir, "documents"), "doc_id", "text", F.col("lang")))
+    cutoffs = quality.calibrate(found, read_table(spark, sf_dir, "labels"), "doc_id", "quality")
+    return quality.judge(found, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language.learn_filter(docs.filter(~held_out(F.col("doc_id"))), "doc_id", "text", "lang")
     return language.identify(docs, model, "doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.learn(docs, "doc_id", "text"), "doc_id", "text")
+    counts = [F.size(F.filter("base", lambda s: s["order"] == F.lit(i))).cast("long").alias(f"n_{kind}") for i, (kind, _, _) in enumerate(secret_scan.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.BagModel:
     labels = read_table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     return toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"), "doc_id", "text", "toxic")
@@ -57,7 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op5_language_id, op7_toxicity, op8_sentencepiece, op9_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_quality, op5_language_id, op6_secret_scan, op7_toxicity, op8_sentencepiece, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
