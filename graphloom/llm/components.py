@@ -19,7 +19,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     neighbours is one row a task. Links with a null end, and loops, say nothing.
     """
     ends = links.select(F.col(a).alias("id"), F.col(b).alias("other")).filter("id is not null and other is not null and id <> other")
-    both = checkpoint(ends.union(ends.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
+    both = checkpoint(ends.union(ends.select(F.col("other").alias("id"), F.col("id").alias("other"))))
     labels = checkpoint(both.groupBy("id").agg(F.min("other").alias("least")).select("id", F.least("id", "least").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("near"))

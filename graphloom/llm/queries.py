@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, packing, pieces, quality, secret_scan, toxicity, trie_dedup, url_filter
+from graphloom.llm import language, minhash, packing, pieces, quality, secret_scan, toxicity, trie_dedup, url_filter
 from graphloom.llm.common import checkpoint, held_out, read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,6 +20,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checkpoint(quality.features(read_table(spark, sf_dir, "documents"), "doc_id", "text", F.col("lang")))
     cutoffs = quality.calibrate(found, read_table(spark, sf_dir, "labels"), "doc_id", "quality")
@@ -70,7 +74,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_quality, op5_language_id, op6_secret_scan, op7_toxicity, op8_sentencepiece, op9_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_near_dedup, op4_quality, op5_language_id, op6_secret_scan, op7_toxicity, op8_sentencepiece, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
