@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import language, minhash, packing, pieces, quality, secret_scan, toxicity, trie_dedup, url_filter
+from graphloom.llm import language, line_dedup, minhash, oracles, packing, pieces, quality, secret_scan, toxicity, trie_dedup, url_filter
 from graphloom.llm.common import checkpoint, held_out, read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,6 +20,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.decisions(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumn("kept_lines", F.array_join(F.col("kept_lines").cast("array<string>"), ","))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -74,8 +79,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_near_dedup, op4_quality, op5_language_id, op6_secret_scan, op7_toxicity, op8_sentencepiece, op9_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_near_dedup, op4_quality, op5_language_id, op6_secret_scan, op7_toxicity, op8_sentencepiece, op9_packing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_dedup": oracles.OP1, "op2_line_dedup": oracles.OP2, "op10_url_filter": oracles.OP10}
