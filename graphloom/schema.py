@@ -1,18 +1,17 @@
-"""Tables and vocabularies of the code graph."""
+"""Tables (as DDL) and vocabularies of the code graph."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-FILES = T.DataType.fromDDL("id long, repo_root string, relative_path string, language string, hash string, size long, line_count long, indexed_at timestamp, last_modified string")
-NODES = T.DataType.fromDDL("id long, kind string, name string, file_id long, start_line int, start_col int, end_line int, end_col int, doc_comment string, properties string")
-EDGES = T.DataType.fromDDL("id long, source_node_id long, target_node_id long, kind string, properties string, file_id long")
-BROKEN_REFS = T.DataType.fromDDL("id long, source_node_id long, ref_name string, file_id long, line int, kind string, target_name string")
-SNAPSHOTS = T.DataType.fromDDL("id long, timestamp timestamp, commit_hash string, total_files long, total_nodes long, total_edges long, avg_complexity double, max_complexity int, circular_deps int")
-METRIC_HISTORY = T.DataType.fromDDL("id long, snapshot_id long, metric_name string, metric_value double")
+
+FILES = "id long, repo_root string, relative_path string, language string, hash string, size long, line_count long, indexed_at timestamp, last_modified string"
+NODES = "id long, kind string, name string, file_id long, start_line int, start_col int, end_line int, end_col int, doc_comment string, properties string"
+EDGES = "id long, source_node_id long, target_node_id long, kind string, properties string, file_id long"
+BROKEN_REFS = "id long, source_node_id long, ref_name string, file_id long, line int, kind string, target_name string"
+SNAPSHOTS = "id long, timestamp timestamp, commit_hash string, total_files long, total_nodes long, total_edges long, avg_complexity double, max_complexity int, circular_deps int"
+METRIC_HISTORY = "id long, snapshot_id long, metric_name string, metric_value double"
 
 # The vocabularies of the data model.
 NODE_KINDS = ("File", "Module", "Function", "Class", "Method", "Interface", "Enum", "Variable", "Field", "Parameter", "TypeAlias", "Import", "Macro", "Anonymous")
