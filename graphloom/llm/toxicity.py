@@ -6,7 +6,7 @@ its words and their prefixes (stems carry the insult in inflected words); the do
 likelihood runs through the noisy-or, so it lands on the sentences that
 explain the label, which then can be located.
 
-Learning: about per_label (2,500) labelled documents of each label, chosen by
+Learning: about per_label (1,500) labelled documents of each label, chosen by
 a hash of their ids, are turned into word hashes on the executors; the
 driver fits one weight for each of 2**HASH_BITS hashes. That bound holds
 at any input size. The labels' weights give toxic documents the square root of
@@ -77,14 +77,20 @@ def fit(buckets: np.ndarray, first: np.ndarray, rows: np.ndarray, label: np.ndar
     drops a word that does not pull as hard as so many whole toxic documents do."""
     if not len(label) or label.min() == label.max():
         return BagModel(np.zeros(0), 0.0, float(label[0]) if len(label) else 0.0)
-    sentence_of, row_of = np.repeat(np.arange(len(first) - 1), np.diff(first) * buckets.shape[1]), np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    buckets = buckets.ravel()
-    sentence_of, buckets = sentence_of[buckets != NOTHING], buckets[buckets != NOTHING]
-    pair = np.unique(buckets * len(label) + row_of[sentence_of])
-    spread = np.bincount(pair // len(label), minlength=NOTHING)
+    row_of = np.repeat(np.arange(len(rows) - 1, dtype=np.int32), np.diff(rows))
+    sentence_of = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+    spread = np.zeros(NOTHING + 1, np.int32)
+    for low, high in zip(first[rows[:-1]].tolist(), first[rows[1:]].tolist(), strict=True):
+        spread[np.unique(buckets[low:high])] += 1
+    spread[NOTHING] = 0
     use = spread[buckets] >= 3
-    buckets, sentence_of = buckets[use], sentence_of[use]
-    words, local = np.unique(buckets, return_inverse=True)
+    sentence_of = np.repeat(sentence_of, use.sum(axis=1))
+    buckets = buckets[use]
+    words = np.flatnonzero(spread >= 3)
+    place = np.zeros(NOTHING + 1, np.int32)
+    place[words] = np.arange(len(words), dtype=np.int32)
+    local = place[buckets]
+    del buckets, use, place
     weight, bias, square, square_bias = np.zeros(len(words)), -4.0, np.full(len(words), 1e-6), 1e-6
     share = label.mean()
     prior = share if prior is None else prior
@@ -109,7 +115,7 @@ def fit(buckets: np.ndarray, first: np.ndarray, rows: np.ndarray, label: np.ndar
     return BagModel(full, float(bias))
 
 
-def learn(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = 2500) -> BagModel:
+def learn(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = 1500) -> BagModel:
     """labelled: the rows to learn from, with text and a label of 0 or 1."""
     labelled = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
     n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -123,11 +129,12 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_l
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (buckets, first, rows, batch.column(1)[low:high].to_numpy())], names=["buckets", "first", "rows", "label"])
 
     found = labelled.filter(hash_share(F.col("id"), 7) < limit).select("text", "label").mapInArrow(bags, "buckets binary, first binary, rows binary, label binary").collect()
-    blocks = [[np.frombuffer(x, "<i4").astype(np.int64) for x in r] for r in found]
-    buckets, first, rows, label = [np.zeros((0, 1 + len(PREFIXES)), np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+    blocks = [[np.frombuffer(x, "<i4") for x in r] for r in found]
+    buckets, first, rows, label = [np.zeros((0, 1 + len(PREFIXES)), np.int32)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
     words = parts = 0
     for b, f, r, y in blocks:
-        buckets.append(b.reshape(-1, 1 + len(PREFIXES))), first.append(f[1:] + words), rows.append(r[1:] + parts), label.append(y)
+        b = b.reshape(-1, 1 + len(PREFIXES))
+        buckets.append(b), first.append(f[1:].astype(np.int64) + words), rows.append(r[1:].astype(np.int64) + parts), label.append(y)
         words, parts = words + len(b), parts + len(f) - 1
     return fit(*(np.concatenate(x) for x in (buckets, first, rows, label)), prior=1 / (1 + (n.get(0, 0) / max(1, n.get(1, 0))) ** 0.5))
 
