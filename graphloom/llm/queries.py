@@ -50,7 +50,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.BagModel:
     labels = read_table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    return toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"), "doc_id", "text", "toxic")
+    return toxicity.learn(docs, labels, "doc_id", "text", "toxic")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

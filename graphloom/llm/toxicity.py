@@ -115,11 +115,13 @@ def fit(buckets: np.ndarray, first: np.ndarray, rows: np.ndarray, label: np.ndar
     return BagModel(full, float(bias))
 
 
-def learn(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = 1500) -> BagModel:
-    """labelled: the rows to learn from, with text and a label of 0 or 1."""
-    labelled = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
-    n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = 1500) -> BagModel:
+    """labels: ids and labels (0 or 1) of the rows to learn from. The sample is drawn from the labels alone, so only its few rows are sent to the texts, which stay where they are."""
+    labels = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
+    n = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     limit = F.when(F.col("label") == 1, min(1.0, per_label / n.get(1, 1))).otherwise(min(1.0, per_label / n.get(0, 1)))
+    sample = labels.filter(hash_share(F.col("__id"), 7) < limit)
+    labelled = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +130,7 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, label_col: str, per_l
                 buckets, first, rows, _ = sentences(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (buckets, first, rows, batch.column(1)[low:high].to_numpy())], names=["buckets", "first", "rows", "label"])
 
-    found = labelled.filter(hash_share(F.col("id"), 7) < limit).select("text", "label").mapInArrow(bags, "buckets binary, first binary, rows binary, label binary").collect()
+    found = labelled.select("text", "label").mapInArrow(bags, "buckets binary, first binary, rows binary, label binary").collect()
     blocks = [[np.frombuffer(x, "<i4") for x in r] for r in found]
     buckets, first, rows, label = [np.zeros((0, 1 + len(PREFIXES)), np.int32)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
     words = parts = 0
