@@ -43,7 +43,8 @@ def report_lines(results: DataFrame) -> DataFrame:
 
 def save_baseline(results: DataFrame, path: str) -> None:
     """One row for each name; of repeated names the last by order of the rows' place, where there is one."""
-    rows = results.groupBy("name").agg(F.max_by(F.struct(*results.columns), F.col("place") if "place" in results.columns else F.monotonically_increasing_id()).alias("r"))
+    placed = results if "place" in results.columns else results.withColumn("place", F.monotonically_increasing_id())
+    rows = placed.groupBy("name").agg(F.max_by(F.struct(*results.columns), "place").alias("r"))
     rows.select("r.*").write.mode("overwrite").json(path)
 
 
