@@ -50,12 +50,14 @@ class PatriciaTrie:
     """A compressed radix trie over byte strings. Entries: smallest id, copies, salts as a bit mask, key."""
 
     def __init__(self, most_bytes: int):
-        self.root, self.most_bytes, self.used, self.evicted = Node(b""), most_bytes, 0, set()
+        self.root, self.most_bytes, self.used, self.strings = Node(b""), most_bytes, 0, 0
+        self.evicted: set[bytes] = set()
+        self.depths: set[int] = set()
 
     def insert(self, text: bytes, smallest: int, copies: int, salts: int, key: tuple) -> bool:
         """False if the string belongs to a subtree that has been spilled."""
         node, at = self.root, 0
-        if text[:2] in self.evicted:
+        if any(text[:d] in self.evicted for d in self.depths):
             return False
         while True:
             if at == len(text):
@@ -85,6 +87,7 @@ class PatriciaTrie:
             node, at = fork, at + low
         if node.entry is None:
             node.entry = [smallest, copies, salts, key]
+            self.strings += 1
         else:
             entry = node.entry
             entry[0], entry[1], entry[2] = min(entry[0], smallest), entry[1] + copies, entry[2] | salts
@@ -100,20 +103,28 @@ class PatriciaTrie:
             stack += [(child, prefix) for child in node.below.values()]
 
     def spill(self) -> Iterator[tuple[bytes, list]]:
-        """Take out the subtrees of the most common first two bytes until half the memory is free. Longer strings only: of a string of up to two bytes there are few."""
-        groups: dict[bytes, list[tuple[bytes, list]]] = {}
-        for text, entry in self.entries(self.root):
-            groups.setdefault(text[:2], []).append((text, entry))
-        by_size = sorted(groups, key=lambda g: -sum(len(t) + 200 for t, _ in groups[g]))
-        self.root, self.used, kept = Node(b""), 0, []
-        for i, g in enumerate(by_size):
-            if i == 0 or sum(len(t) + 200 for t, _ in groups[g]) > self.most_bytes // 8:
-                self.evicted.add(g)
-                yield from groups[g]
-            else:
-                kept += groups[g]
-        for text, entry in kept:
-            self.insert(text, *entry)
+        """Take out the largest subtrees, about half of all that is held. Subtrees begin at the shortest depth at which none is more than half; at least one string stays, so each round makes progress."""
+        found = list(self.entries(self.root))
+        longest, depth = max(len(t) for t, _ in found), 2
+        while True:
+            groups: dict[bytes, list[tuple[bytes, list]]] = {}
+            for text, entry in found:
+                groups.setdefault(text[:depth], []).append((text, entry))
+            sizes = {g: sum(len(t) + 200 for t, _ in rows) for g, rows in groups.items()}
+            if depth >= longest or 2 * max(sizes.values()) <= sum(sizes.values()):
+                break
+            depth *= 2
+        free, self.root, self.used, self.strings = sum(sizes.values()) / 2, Node(b""), 0, 0
+        self.depths.add(depth)
+        for g in sorted(groups, key=sizes.get, reverse=True)[:-1]:
+            if free <= 0:
+                break
+            free -= sizes[g]
+            self.evicted.add(g)
+            yield from groups.pop(g)
+        for rows in groups.values():
+            for text, entry in rows:
+                self.insert(text, *entry)
 
 
 def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +159,7 @@ def own(most_bytes: int):
                 row = t.as_py(), i.as_py(), n.as_py(), mask, k.as_py()
                 if not trie.insert(*row):
                     out.append((row[0], [row[1], row[2], row[3], row[4]], True))
-                if trie.used > most_bytes:
+                if trie.used > most_bytes and trie.strings > 1:
                     out += [(t, e, True) for t, e in trie.spill()]
                 if len(out) >= 500:
                     yield rows(out)
@@ -189,13 +200,13 @@ def exact_groups(df: DataFrame, id_col: str, text_col: str, *keep: Column, most_
     answers = done[0]
     for more in done[1:]:
         answers = answers.unionByName(more)
-    answers = answers.select("key", "size", F.explode("salts").alias("salt"), "smallest", "copies")
+    answers = answers.select(F.col("key").alias("__own_key"), F.col("size").alias("__own_size"), F.explode("salts").alias("__own_salt"), F.col("smallest").alias("__smallest"), F.col("copies").alias("__copies"))
     rows = df.select(F.col(id_col), *keep, F.sha2(text, 256).alias("__key"), F.octet_length(text).alias("__size"), salt.alias("__salt"))
-    joined = rows.join(answers, (F.col("__key") == F.col("key")) & (F.col("__size") == F.col("size")) & (F.col("__salt") == F.col("salt")))
+    joined = rows.join(answers, (F.col("__key") == F.col("__own_key")) & (F.col("__size") == F.col("__own_size")) & (F.col("__salt") == F.col("__own_salt")))
     return joined.select(
         *[c for c in rows.columns if not c.startswith("__")],
-        F.when(F.col("smallest") != NO_ID, F.col("smallest")).alias("keep_id"),
-        F.col("copies").alias("group_size"),
-        (row == F.col("smallest")).alias("kept"),
+        F.when(F.col("__smallest") != NO_ID, F.col("__smallest")).alias("keep_id"),
+        F.col("__copies").alias("group_size"),
+        (row == F.col("__smallest")).alias("kept"),
         F.col("__key").alias("text_sha256"),
     )
