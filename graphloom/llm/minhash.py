@@ -325,6 +325,6 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, *keep: Column) -> Da
     named = components(links, "a", "b")
     classes = copies.join(named.select(F.col("id").alias("rep"), "component"), "rep", "left").select("content", F.coalesce("component", "rep").alias("class_id"))
     found = signed.select("id", "content").join(classes, "content", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    named = found.groupBy("id").agg(F.min("class_id").alias("class_id"))
+    named = found.groupBy(F.col("id").alias("__named")).agg(F.min("class_id").alias("__class"))
     rows = df.select(F.col(id_col), *keep, F.col(id_col).cast("long").alias("__id"))
-    return rows.join(named, F.col("__id").eqNullSafe(F.col("id"))).select(*rows.columns[:-1], "class_id", F.coalesce(F.col("class_id") == F.col("__id"), F.lit(True)).alias("kept"))
+    return rows.join(named, F.col("__id").eqNullSafe(F.col("__named"))).select(*rows.columns[:-1], F.col("__class").alias("class_id"), F.coalesce(F.col("__class") == F.col("__id"), F.lit(True)).alias("kept"))
