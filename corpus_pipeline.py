@@ -9,37 +9,37 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import minhash, packing, queries, secret_scan, toxicity, trie_dedup
 from graphloom.llm.common import ensure_checkpoint_dir, read_table
 
 
-def kept_columns(docs: DataFrame) -> list:
-    """All columns but the id, and the text under a name that no column of an operator has."""
-    return [F.col(c) for c in docs.columns if c != "doc_id"]
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one struct, so none can clash with a column of an operator."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.toxicity_model(spark, docs, sf_dir)
-    scored = toxicity.score(docs, model, "doc_id", "text", *kept_columns(docs))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, "doc_id", "text", whole_row(docs)).filter("predicted = 0").select("whole_row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return trie_dedup.exact_groups(docs, "doc_id", "text", *kept_columns(docs)).filter("kept").select(*docs.columns)
+    return trie_dedup.exact_groups(docs, "doc_id", "text", whole_row(docs)).filter("kept").select("whole_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.near_classes(docs, "doc_id", "text", *kept_columns(docs)).filter("kept").select(*docs.columns)
+    return minhash.near_classes(docs, "doc_id", "text", whole_row(docs)).filter("kept").select("whole_row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ratios = secret_scan.learn(docs, "doc_id", "text")
-    found = secret_scan.scan(docs, ratios, "doc_id", "text", *kept_columns(docs))
-    clean = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = secret_scan.scan(docs, ratios, "doc_id", "text", whole_row(docs))
+    text = secret_scan.redact(F.col("whole_row.text"), F.col("spans"))
+    clean = found.select(F.col("whole_row").withField("text", text).alias("whole_row")).select("whole_row.*")
+    return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
