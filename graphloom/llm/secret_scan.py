@@ -93,13 +93,18 @@ def total_ratio(token: Column, table: Column) -> Column:
     return F.aggregate(codes(token), start, step)["total"]
 
 
+def transitions(counts: dict[int, int], smoothing: float) -> list[list[float]]:
+    """P(next | this) for all pairs, smoothed towards the shares of all next characters, so that characters seldom seen stay unlikely after any other."""
+    table = [[counts.get(a * SIDE + b, 0) for b in range(SIDE)] for a in range(SIDE)]
+    shares = [sum(row[b] for row in table) + smoothing for b in range(SIDE)]
+    extra = [SIDE * smoothing * x / sum(shares) for x in shares]
+    return [[(n + x) / (sum(row) + sum(extra)) for n, x in zip(row, extra, strict=True)] for row in table]
+
+
 def log_ratios(random: dict[int, int], ordinary: dict[int, int], smoothing: float = 0.5) -> list[float]:
     """log P(next | this) under the random model minus that under the ordinary one, for all pairs."""
-    out = []
-    for a in range(SIDE):
-        row = [[table.get(a * SIDE + b, 0) + smoothing for b in range(SIDE)] for table in (random, ordinary)]
-        out += [math.log(x / sum(row[0])) - math.log(y / sum(row[1])) for x, y in zip(*row, strict=True)]
-    return out
+    pairs = zip(transitions(random, smoothing), transitions(ordinary, smoothing), strict=True)
+    return [math.log(x) - math.log(y) for rows in pairs for x, y in zip(*rows, strict=True)]
 
 
 def random_samples(df: DataFrame, n: int = 2000) -> DataFrame:
