@@ -100,7 +100,7 @@ def symbol_by_id(g):
 
 @on_graph
 def edges_filtered(g):
-    return lookup.edges_where(g.edges, kind="Calls", limit=500)
+    return lookup.edges_where(g.edges, kind="Calls")
 
 
 @on_graph
