@@ -51,13 +51,12 @@ class PatriciaTrie:
 
     def __init__(self, most_bytes: int):
         self.root, self.most_bytes, self.used, self.strings = Node(b""), most_bytes, 0, 0
-        self.evicted: set[bytes] = set()
-        self.depths: set[int] = set()
+        self.evicted: dict[int, set[bytes]] = {}  # by depth: a text shorter than its depth is a group of its own, not a prefix of others
 
     def insert(self, text: bytes, smallest: int, copies: int, salts: int, key: tuple) -> bool:
         """False if the string belongs to a subtree that has been spilled."""
         node, at = self.root, 0
-        if any(text[:d] in self.evicted for d in self.depths):
+        if any(text[:d] in groups for d, groups in self.evicted.items()):
             return False
         while True:
             if at == len(text):
@@ -115,16 +114,17 @@ class PatriciaTrie:
                 break
             depth *= 2
         free, self.root, self.used, self.strings = sum(sizes.values()) / 2, Node(b""), 0, 0
-        self.depths.add(depth)
+        evicted = self.evicted.setdefault(depth, set())
         for g in sorted(groups, key=sizes.get, reverse=True)[:-1]:
             if free <= 0:
                 break
             free -= sizes[g]
-            self.evicted.add(g)
+            evicted.add(g)
             yield from groups.pop(g)
         for rows in groups.values():
             for text, entry in rows:
-                self.insert(text, *entry)
+                if not self.insert(text, *entry):
+                    yield text, entry
 
 
 def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,6 +117,16 @@ def test_trie_keeps_prefixes_and_empty_strings_apart():
     assert {t: (e[0], e[1]) for t, e in trie.entries(trie.root)} == {b"": (0, 2), b"ab": (1, 2), b"abc": (2, 1), b"abd": (3, 1), b"b": (5, 1)}
 
 
+def test_a_short_text_spilled_at_a_deeper_depth_holds_back_no_other():
+    trie = trie_dedup.PatriciaTrie(1 << 20)
+    gone, first, second = [], [b"", b"z", b"zz", b"zzabc"], [b"zzqqq", b"a" * 100, b"b" * 110]
+    for texts in (first, second):
+        assert all(trie.insert(t, 1, 1, 1, t) for t in texts)
+        gone += [t for t, _ in trie.spill()]
+    assert b"zz" in gone
+    assert sorted(gone + [t for t, _ in trie.entries(trie.root)]) == sorted(first + second)
+
+
 # 2
 
 
