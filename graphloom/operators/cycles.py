@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphloom.operators.traverse import checkpoint
+from graphloom.operators.traverse import checkpoint, in_ranges
 from graphloom.schema import CodeGraph
 
 
@@ -62,5 +62,10 @@ def strong_components(links: DataFrame) -> DataFrame:
 
 def circular_dependencies(components: DataFrame) -> DataFrame:
     """Neighbours by id inside each component: a component of n nodes gives n - 1 pairs."""
-    follow = F.lead("node_id").over(W.partitionBy("component").orderBy("node_id"))
-    return components.select(F.col("node_id").alias("a"), follow.alias("b")).filter("b IS NOT NULL")
+    rows = in_ranges(components, "component", "node_id")
+    # The last of a range is followed by the first of the component's next range.
+    starts = rows.groupBy("component", "part").agg(F.min("node_id").alias("least"))
+    nexts = starts.select("component", "part", F.lead("least").over(W.partitionBy("component").orderBy("part")).alias("after")).filter("after IS NOT NULL")
+    follow = F.lead("node_id").over(W.partitionBy("component", "part").orderBy("node_id"))
+    pairs = rows.select("component", "part", F.col("node_id").alias("a"), follow.alias("b")).join(F.broadcast(nexts), ["component", "part"], "left")
+    return pairs.select("a", F.coalesce("b", "after").alias("b")).filter("b IS NOT NULL")

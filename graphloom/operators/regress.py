@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from graphloom.functions.expressions import format_ns
+from graphloom.operators.traverse import in_ranges
 
 SEVERITIES = ("Critical", "Significant", "Warning", "Improvement")
 
@@ -31,10 +33,16 @@ def exit_code(found: DataFrame) -> int:
 
 def group_report(results: DataFrame) -> DataFrame:
     """By the first part of the name: results, least, most and upper median of the means."""
-    means = F.array_sort(F.collect_list("mean_ns"))  # a group is one benchmark suite
-    return results.groupBy(F.split("name", "/")[0].alias("group_name")).agg(
-        F.count("*").alias("n"), F.min("mean_ns").alias("min_ns"), F.max("mean_ns").alias("max_ns"), F.element_at(means, (F.count("*") / 2).cast("int") + 1).alias("median_ns")
-    )
+    counts = in_ranges(results.groupBy(F.split("name", "/")[0].alias("group_name"), "mean_ns").agg(F.count("*").alias("k")), "group_name", "mean_ns")
+    groups = counts.groupBy("group_name").agg(F.sum("k").alias("n"), F.min("mean_ns").alias("min_ns"), F.max("mean_ns").alias("max_ns"))
+    known = counts.filter("mean_ns IS NOT NULL")
+    before = lambda w: F.coalesce(F.sum("k").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = known.groupBy("group_name", "part").agg(F.sum("k").alias("k")).select(F.col("group_name").alias("g"), F.col("part").alias("p"), before(W.partitionBy("group_name").orderBy("part")).alias("start"))
+    inside = known.withColumn("inside", before(W.partitionBy("group_name", "part").orderBy("mean_ns")))
+    placed = inside.join(ranges, F.col("group_name").eqNullSafe(F.col("g")) & (F.col("part") == F.col("p"))).select("g", "mean_ns", "k", (F.col("start") + F.col("inside")).alias("first"))
+    middle = F.expr("n div 2")
+    at = F.col("group_name").eqNullSafe(F.col("g")) & (F.col("first") <= middle) & (middle < F.col("first") + F.col("k"))
+    return placed.join(F.broadcast(groups), at, "right").select("group_name", "n", "min_ns", "max_ns", F.col("mean_ns").alias("median_ns"))
 
 
 def report_lines(results: DataFrame) -> DataFrame:

@@ -26,6 +26,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_ranges(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt by ranges of by, with the number of their range as part: what is counted within ranges needs only one sum a range besides, however large a group is."""
+    return checkpoint(df.repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
+
+
 @dataclass
 class Walk:
     """visited: node, depth, edge_path (kinds), trail (edge ids); expanded: edges that were looked at."""
