@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.expressions import search_tokens
 from graphloom.schema import CodeGraph
 
 FINDINGS = "severity string, message string, file string, line int, symbol string, rule string"
@@ -87,8 +88,9 @@ class Registry:
 
 
 def high_impact(changed_paths: DataFrame, nodes: DataFrame, many: int = 10) -> DataFrame:
-    """Changed files whose base name is part of more than so many names. Names are cut into their parts, so this is an equi-join."""
-    base = F.lower(F.regexp_extract("relative_path", r"([^/]+?)(\.[^./]*)?$", 1))
-    parts = nodes.select("id", F.explode(F.array_distinct(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"))).alias("part"))
-    rows = changed_paths.select("relative_path", base.alias("part")).join(parts, "part")
+    """Changed files all terms of whose base name are in more than so many names. Both are cut into their terms, so this is an equi-join."""
+    base = F.array_distinct(search_tokens(F.regexp_extract("relative_path", r"([^/]+?)(\.[^./]*)?$", 1)))
+    parts = nodes.select("id", F.explode(F.array_distinct(search_tokens(F.col("name")))).alias("part"))
+    terms = changed_paths.select("relative_path").distinct().select("relative_path", F.size(base).alias("terms"), F.explode(base).alias("part"))
+    rows = terms.join(parts, "part").groupBy("relative_path", "terms", "id").agg(F.count("*").alias("found")).filter("found = terms")
     return rows.groupBy("relative_path").agg(F.count("*").alias("n")).filter(F.col("n") > many)
