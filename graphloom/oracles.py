@@ -71,7 +71,7 @@ GRAPH: dict[str, tuple[str, str]] = {
     "symbols_by_file": ("", "SELECT id, kind, name FROM g_nodes WHERE file_id = 3"),
     "symbols_by_prefix": ("", "SELECT id, name FROM g_nodes WHERE starts_with(name, 'un') ORDER BY name, id LIMIT 20 OFFSET 5"),
     "symbol_by_id": ("", "SELECT * FROM g_nodes WHERE id = 1000010"),
-    "edges_filtered": ("", "SELECT * FROM g_edges WHERE kind = 'Calls' ORDER BY id LIMIT 500"),
+    "edges_filtered": ("", "SELECT * FROM g_edges WHERE kind = 'Calls' ORDER BY id LIMIT 50000"),
     "edges_of_source": ("", "SELECT * FROM g_edges WHERE source_node_id = 10000"),
     "symbols_with_path": ("", "SELECT n.id, n.name, coalesce(relative_path, '?') AS path FROM g_nodes n LEFT JOIN g_files f ON f.id = n.file_id"),
     "edges_named": ("", "SELECT e.id, coalesce(s.name || ' [' || s.kind || ']', 'id:' || e.source_node_id) AS source_label, coalesce(t.name || ' [' || t.kind || ']', 'id:' || e.target_node_id) AS target_label, e.kind FROM g_edges e LEFT JOIN g_nodes s ON s.id = source_node_id LEFT JOIN g_nodes t ON t.id = target_node_id"),
@@ -85,7 +85,7 @@ GRAPH: dict[str, tuple[str, str]] = {
     "one_hop_neighbours": ("", "SELECT target_node_id AS id FROM g_edges WHERE source_node_id = 5 UNION SELECT source_node_id FROM g_edges WHERE target_node_id = 5"),
     "lod_filter": (IMPORTANCE, "SELECT id FROM imp WHERE importance >= CAST(0.3 AS DOUBLE)"),
     "function_metrics": (DEGREES, "SELECT n.id, name, CAST(greatest(end_line - start_line, 0) + 1 AS BIGINT) AS line_count, CAST(greatest(1, coalesce(contains_out, 0) + 1) AS BIGINT) AS cyclomatic, CAST(greatest(1, coalesce(contains_out, 0) + (greatest(end_line - start_line, 0) + 1) // 10) AS BIGINT) AS cognitive, CAST(coalesce(json_array_length(properties, '$.parameters'), 0) AS BIGINT) AS parameter_count, CAST(coalesce(calls_out, 0) AS BIGINT) AS fan_out, CAST(coalesce(calls_in, 0) AS BIGINT) AS fan_in FROM g_nodes n LEFT JOIN deg ON deg.id = n.id WHERE kind IN ('Function', 'Method')"),
-    "complexity_bands": ("", "SELECT CASE WHEN l > 10 THEN 'high' WHEN l > 5 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM (SELECT greatest(end_line - start_line, 0) + 1 AS l FROM g_nodes WHERE kind IN ('Function', 'Method')) GROUP BY 1"),
+    "complexity_bands": (DEGREES, "SELECT CASE WHEN c > 10 THEN 'high' WHEN c > 5 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM (SELECT greatest(1, coalesce(contains_out, 0) + 1) AS c FROM g_nodes n LEFT JOIN deg ON deg.id = n.id WHERE kind IN ('Function', 'Method')) GROUP BY 1"),
     "module_metrics": (DEGREES, f"SELECT n.id, n.name, CAST(coalesce(calls_in, 0) AS BIGINT) AS fan_in, CAST(coalesce(calls_out, 0) AS BIGINT) AS fan_out, CAST(coalesce(depends_in, 0) AS BIGINT) AS afferent, CAST(coalesce(depends_out, 0) AS BIGINT) AS efferent, round(CASE WHEN coalesce(depends_in + depends_out, 0) > 0 THEN CAST(depends_out AS DOUBLE) / (depends_in + depends_out) ELSE 0 END, 9) AS instability, coalesce(num_methods, 0) AS num_methods, coalesce(num_fields, 0) AS num_fields FROM g_nodes n LEFT JOIN deg ON deg.id = n.id LEFT JOIN (SELECT source_node_id, count(*) FILTER (t.kind = 'Method') AS num_methods, count(*) FILTER (t.kind = 'Field') AS num_fields FROM g_edges e JOIN g_nodes t ON t.id = target_node_id WHERE e.kind = 'Contains' GROUP BY 1) m ON m.source_node_id = n.id WHERE n.kind IN ({listed(MODULE_KINDS)})"),
     "aggregate_metrics": (DEGREES, f"SELECT count(*) AS total_nodes, (SELECT count(*) FROM g_edges) AS total_edges, count(*) FILTER (kind = 'File') AS total_files, round(coalesce(avg(c) FILTER (f), 0), 9) AS avg_complexity, CAST(coalesce(max(c) FILTER (f), 0) AS BIGINT) AS max_complexity, count(*) FILTER (f) AS function_count, count(*) FILTER (kind IN ({listed(MODULE_KINDS)})) AS module_count FROM (SELECT kind, kind IN ('Function', 'Method') AS f, coalesce(contains_out, 0) + 1 AS c FROM g_nodes n LEFT JOIN deg ON deg.id = n.id)"),
     "degrees": (DEGREES, "SELECT id, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("fan_out", "fan_in", "calls_out", "calls_in", "depends_out", "depends_in", "contains_out")) + " FROM deg"),
@@ -144,7 +144,7 @@ SELECT doc_id, file, count(*) FILTER (starts_with(y, '+') AND NOT starts_with(y,
     "doc_hash_linecount": "SELECT doc_id, sha256(text) AS hash, length(text) - length(replace(text, chr(10), '')) AS lines FROM documents",
     "url_language": "SELECT page_id, CASE lower(regexp_extract(p, '[^/]\\.([^./]+)$', 1)) WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' END AS language FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') || CASE page_id % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.PY' WHEN 2 THEN '.unknown' ELSE '' END AS p FROM pages)",
     "conversation_next_edges": "SELECT * FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn, 'Next' AS kind FROM conversations) WHERE next_turn IS NOT NULL",
-    "events_debounced_batches": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM s GROUP BY user_id, k",
+    "events_debounced_batches": "WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, event_type, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first_ts, count(DISTINCT event_type) AS n_paths, count(*) AS n FROM s GROUP BY user_id, k",
 }
 
 

@@ -12,6 +12,7 @@ from graphloom.functions.expressions import format_ns, language_of, line_count,
 from graphloom.operators import cycles, diff, export, history, incremental, lookup, metrics, plugins, regress, resolve, rules, search, traverse
 from graphloom.schema import CodeGraph
 from graphloom.sources.star import star_graph
+from graphloom.streaming import watch
 
 ROOT = 10_000
 RULES = [
@@ -172,7 +173,7 @@ def function_metrics(g):
 
 @on_graph
 def complexity_bands(g):
-    return metrics.function_metrics(g).groupBy(metrics.complexity_band(F.col("line_count")).alias("band")).agg(F.count("*").alias("n"))
+    return metrics.function_metrics(g).groupBy(metrics.complexity_band(F.col("cyclomatic")).alias("band")).agg(F.count("*").alias("n"))
 
 
 @on_graph
@@ -467,6 +468,7 @@ def conversation_next_edges(spark, sf_dir):
 
 @on_tables
 def events_debounced_batches(spark, sf_dir):
-    """Bursts of one user's events, closed by a quiet hour."""
-    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("first_ts"), "n")
+    """Each user's events as changes of a repository: bursts closed by a quiet hour."""
+    user, path = F.col("user_id").cast("string"), F.concat(F.lit("src/"), "event_type", F.lit(".py"))
+    changes = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), user.alias("repo_root"), path.alias("relative_path"))
+    return watch.debounced(changes, "1 hour").select(F.col("repo_root").cast("long").alias("user_id"), "first_ts", F.size("paths").alias("n_paths"), F.col("n_events").alias("n"))

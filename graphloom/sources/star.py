@@ -1,10 +1,9 @@
 """A deterministic code graph over the driver's star-schema tables, for checks and benchmarks.
 
-Files, all nodes but Import and the Contains edges are the SQL's, which is the same
-text for Spark and DuckDB. Its other branches take one row in 20 to 500 of orders
-and lineitem and the first 200 parts; star_graph() builds these nodes and edges
-from all rows instead, so it holds more than the SQL's views. An edge's id is
-computed from its ends and kind, so no global numbering is needed.
+Files, all nodes but Import and the Contains edges come from SQL that is the same
+text for Spark and DuckDB. Import nodes and the other edges are DataFrames here and
+SQL of their own in CTES, over all rows of orders and lineitem in both. An edge's id
+is computed from its ends and kind, so no global numbering is needed.
 """
 
 from __future__ import annotations
@@ -29,22 +28,29 @@ UNION ALL SELECT CAST(10000 + s_suppkey AS BIGINT), CASE s_suppkey % 4 WHEN 0 TH
 UNION ALL SELECT CAST(1000000 + p_partkey AS BIGINT), CASE WHEN p_partkey % 50 = 7 THEN 'Macro' WHEN p_partkey % 50 = 9 THEN 'Parameter' WHEN p_partkey % 6 < 2 THEN 'Function' WHEN p_partkey % 6 < 4 THEN 'Method' WHEN p_partkey % 6 = 4 THEN 'Variable' ELSE 'Field' END,
  CASE WHEN p_partkey % 50 = 7 THEN 'undef_' || CAST(p_partkey AS VARCHAR(20)) WHEN p_partkey % 50 = 9 THEN 'println' ELSE replace(p_name, ' ', '_') END, CAST(p_partkey % 25 + 1 AS BIGINT), CAST(p_partkey * 3 + 1 AS INT), CAST(p_partkey * 3 + 1 + p_size AS INT),
  CASE p_size % 3 WHEN 0 THEN '{}' WHEN 1 THEN '{"parameters":["a"]}' ELSE '{"parameters":["a","b"]}' END FROM part
-UNION ALL SELECT CAST(10000000 + o_orderkey AS BIGINT), 'Import', 'import { ' || CASE WHEN p_partkey % 50 = 7 THEN 'undef_' || CAST(p_partkey AS VARCHAR(20)) ELSE replace(p_name, ' ', '_') END || ', ext_' || CAST(o_orderkey % 7 AS VARCHAR(10)) || ' } from ' || chr(39) || './mod' || CAST(o_custkey % 5 AS VARCHAR(10)) || chr(39), CAST(c_nationkey + 1 AS BIGINT), 1, 1, '{}'
- FROM orders JOIN customer ON o_custkey = c_custkey JOIN part ON p_partkey = CAST(floor(o_orderkey / 50) AS BIGINT) % 200 WHERE o_orderkey % 50 = 0
 """
 
-EDGES = """
-SELECT CAST((source_node_id * 20000000 + target_node_id) * 4 + CASE kind WHEN 'Calls' THEN 0 WHEN 'Contains' THEN 1 WHEN 'DependsOn' THEN 2 ELSE 3 END AS BIGINT) AS id, source_node_id, target_node_id, kind FROM (
+CONTAINS = """
+SELECT CAST((source_node_id * 20000000 + target_node_id) * 4 + 1 AS BIGINT) AS id, source_node_id, target_node_id, kind FROM (
  SELECT CAST(s_nationkey + 1 AS BIGINT) AS source_node_id, CAST(10000 + s_suppkey AS BIGINT) AS target_node_id, 'Contains' AS kind FROM supplier
- UNION ALL SELECT CAST(10000 + min(l_suppkey) AS BIGINT), CAST(1000000 + l_partkey AS BIGINT), 'Contains' FROM lineitem GROUP BY l_partkey
- UNION ALL SELECT DISTINCT CAST(1000000 + a.l_partkey AS BIGINT), CAST(1000000 + b.l_partkey AS BIGINT), 'Calls' FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 20 = 0
- UNION ALL SELECT DISTINCT CAST(c_nationkey + 1 AS BIGINT), CAST(s_nationkey + 1 AS BIGINT), 'DependsOn' FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 500 = 0 AND c_nationkey <> s_nationkey
- UNION ALL SELECT CAST(10000000 + o_orderkey AS BIGINT), CAST(1000000 + CAST(floor(o_orderkey / 50) AS BIGINT) % 200 AS BIGINT), 'References' FROM orders WHERE o_orderkey % 50 = 0
- UNION ALL SELECT DISTINCT CAST(1000000 + l_partkey AS BIGINT), CAST(10000 + l_suppkey AS BIGINT), 'References' FROM lineitem WHERE l_orderkey % 200 = 0) x
+ UNION ALL SELECT CAST(10000 + min(l_suppkey) AS BIGINT), CAST(1000000 + l_partkey AS BIGINT), 'Contains' FROM lineitem GROUP BY l_partkey) x
 """
 
+#: DuckDB's own text of what imports() and links() build.
+FIRST = "SELECT o_orderkey, o_custkey, part FROM orders LEFT JOIN (SELECT l_orderkey, min(struct_pack(n := l_linenumber, p := l_partkey)).p AS part FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"
+IMPORTS = """
+SELECT CAST(10000000 + o_orderkey AS BIGINT), 'Import', 'import { ' || coalesce(CASE WHEN p_partkey % 50 = 7 THEN 'undef_' || CAST(p_partkey AS VARCHAR(20)) ELSE replace(p_name, ' ', '_') END || ', ', '') || 'ext_' || CAST(o_orderkey % 7 AS VARCHAR(10)) || ' } from ' || chr(39) || './mod' || CAST(o_custkey % 5 AS VARCHAR(10)) || chr(39), CAST(c_nationkey + 1 AS BIGINT), 1, 1, '{}'
+ FROM first_parts JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON p_partkey = part
+"""
+LINKS = """
+SELECT CAST((source_node_id * 20000000 + target_node_id) * 4 + CASE kind WHEN 'Calls' THEN 0 WHEN 'DependsOn' THEN 2 ELSE 3 END AS BIGINT) AS id, source_node_id, target_node_id, kind FROM (
+ SELECT DISTINCT CAST(1000000 + a.l_partkey AS BIGINT) AS source_node_id, CAST(1000000 + b.l_partkey AS BIGINT) AS target_node_id, 'Calls' AS kind FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+ UNION ALL SELECT DISTINCT CAST(c_nationkey + 1 AS BIGINT), CAST(s_nationkey + 1 AS BIGINT), 'DependsOn' FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey
+ UNION ALL SELECT CAST(10000000 + o_orderkey AS BIGINT), CAST(1000000 + part AS BIGINT), 'References' FROM first_parts WHERE part IS NOT NULL
+ UNION ALL SELECT DISTINCT CAST(1000000 + l_partkey AS BIGINT), CAST(10000 + l_suppkey AS BIGINT), 'References' FROM lineitem) x
+"""
 #: For DuckDB: the three views in front of a query.
-CTES = f"g_files AS ({FILES}), g_nodes AS ({NODES}), g_edges AS ({EDGES})"
+CTES = f"g_files AS ({FILES}), first_parts AS ({FIRST}), g_nodes AS MATERIALIZED ({NODES} UNION ALL {IMPORTS}), g_edges AS MATERIALIZED ({CONTAINS} UNION ALL {LINKS})"
 
 
 PART, MODULE, IMPORT = 1_000_000, 10_000, 10_000_000  # added to the keys of part, supplier and orders
@@ -93,10 +99,10 @@ def star_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
         names = {k: v for k, v in (tables | more).items() if f" {k}" in sql}
         escaped = sql.replace("{", "{{").replace("}", "}}")
         for name in names:
-            escaped = escaped.replace(f"FROM {name}", f"FROM {{{name}}} AS {name}").replace(f"JOIN {name}", f"JOIN {{{name}}} AS {name}").replace(f"AS {name} a ", "AS a ").replace(f"AS {name} b ", "AS b ")
+            escaped = escaped.replace(f"FROM {name}", f"FROM {{{name}}} AS {name}").replace(f"JOIN {name}", f"JOIN {{{name}}} AS {name}")
         return spark.sql(escaped, **names)
 
     files = view(FILES)
-    nodes = view(NODES, g_files=files).filter("kind <> 'Import'").unionByName(imports(tables))
-    edges = view(EDGES).filter("kind = 'Contains'").unionByName(links(tables))
+    nodes = view(NODES, g_files=files).unionByName(imports(tables))
+    edges = view(CONTAINS).unionByName(links(tables))
     return CodeGraph(files, nodes, edges)

@@ -12,7 +12,7 @@ from graphloom.functions.expressions import language_of
 from graphloom.plans.index import refresh
 from graphloom.sources.files import EXCLUDED, discover, wanted
 
-EVENTS = "ts timestamp, relative_path string, event string"
+EVENTS = "ts timestamp, repo_root string, relative_path string, event string"
 
 
 def is_watchable(path: Column) -> Column:
@@ -29,10 +29,14 @@ def change_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str = "2 seconds") -> DataFrame:
-    """Bursts of changes, closed by a quiet gap of event time: first and last time, and the paths. State is one row for each open burst."""
+    """Bursts of changes of one repository (null: ""), closed by a quiet gap of event time: first and last time, and the paths.
+
+    The same for a stream and a table. State is one row for each open burst of a repository.
+    """
     rows = events.filter(is_watchable(F.col("relative_path"))).withWatermark("ts", late)
-    burst = rows.groupBy(F.session_window("ts", gap).alias("w")).agg(F.collect_set("relative_path").alias("paths"), F.count("*").alias("n_events"))
-    return burst.select(F.col("w.start").alias("first_ts"), F.col("w.end").alias("last_ts"), "paths", "n_events")
+    rows = rows.withColumn("repo_root", F.coalesce("repo_root", F.lit("")))
+    burst = rows.groupBy("repo_root", F.session_window("ts", gap).alias("w")).agg(F.collect_set("relative_path").alias("paths"), F.count("*").alias("n_events"))
+    return burst.select("repo_root", F.col("w.start").alias("first_ts"), F.col("w.end").alias("last_ts"), "paths", "n_events")
 
 
 def reindexer(spark: SparkSession, root: str, store: str, log: str | None = None) -> Callable[[DataFrame, int], None]:
