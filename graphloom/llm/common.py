@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,17 +18,22 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_1 = np.uint64(0xFF51AFD7ED558CCD)
 MIX_2 = np.uint64(0xC4CEB9FE1A85EC53)
 BASE = 0x2545F4914F6CDD1D
+MOST_BROADCAST = 1 << 17
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; where it names none (tests), to a temporary one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Checkpoints and tables go to the folder that the cluster names in spark.checkpoint.dir; a session without one must set it, as a folder of one machine would be lost with it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -36,6 +41,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as a table into the checkpoint folder and read again, and its place for drop_table(). Smaller than a checkpoint, and columns are read one by one."""
+    place = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place), place
+
+
+def drop_table(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_or_whole(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has MOST_BROADCAST rows (of few columns) at most, else as it is, for a shuffled join. df is counted, so it should be cut off before."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def extended(df: DataFrame, ddl: str) -> T.StructType:
     """The columns of df, then those of the DDL."""
     return T.StructType([*df.schema.fields, *T.DataType.fromDDL(ddl).fields])

@@ -22,7 +22,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.decisions(read_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return found.withColumn("kept_lines", F.array_join(F.col("kept_lines").cast("array<string>"), ","))
+    return found.drop("text_mark").withColumn("kept_lines", F.array_join(F.col("kept_lines").cast("array<string>"), ","))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,6 +174,50 @@ def test_clean_texts_drops_later_similar_lines(spark):
     assert {r.doc_id: r.text for r in line_dedup.clean_texts(df, found, "doc_id", "text").collect()} == {1: "a b c d e\n\nx y", 2: "new line", 3: None}
 
 
+def test_clean_texts_tells_texts_of_one_id_apart(spark):
+    df = spark.createDataFrame([(1, "a b c d e\nunique one here"), (1, "p q r s t\na b c d e"), (1, "p q r s t\na b c d e")], "doc_id long, text string")
+    found = line_dedup.decisions(df, "doc_id", "text")
+    texts = [r.text for r in line_dedup.clean_texts(df, found, "doc_id", "text").collect()]
+    assert len(texts) == 3 and texts[1] == texts[2]
+    left = "\n".join(set(texts)).split("\n")
+    assert sorted(left) == ["a b c d e", "p q r s t", "unique one here"]
+
+
+def test_frequent_tokens_are_joined_by_pairs_with_the_same_result(spark):
+    draw = np.random.default_rng(4)
+    lines = [" ".join(f"w{k}" for k in draw.choice(14, draw.integers(1, 13), replace=False)) for _ in range(250)]
+    docs = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(50)]
+    df, expected = spark.createDataFrame(docs, "doc_id long, text string"), brute_lines(docs)
+    for most in (2, 1024):
+        found = line_dedup.decisions(df, "doc_id", "text", most).collect()
+        assert {r.doc_id: (r.kept_lines, r.n_links) for r in found} == {i: (kept, links) for i, (_, kept, links) in expected.items()}
+
+
+def test_long_lines_and_blocks_of_a_component_give_the_same_links(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    base = [f"t{k}" for k in range(400)]
+    docs = [(i, " ".join([w if draw.random() > 0.06 else f"x{draw.integers(9999)}" for w in base[: draw.choice([60, 70, 120, 140, 260, 300])]])) for i in range(60)]
+    df, expected = spark.createDataFrame(docs, "doc_id long, text string"), brute_lines(docs)
+    for words, members in ((1 << 16, 1024), (2000, 8)):
+        monkeypatch.setattr(line_dedup, "BLOCK_WORDS", words)
+        monkeypatch.setattr(line_dedup, "KEY_BLOCK", members)
+        found = line_dedup.decisions(df, "doc_id", "text").collect()
+        assert {r.doc_id: (r.kept_lines, r.n_links) for r in found} == {i: (kept, links) for i, (_, kept, links) in expected.items()}
+    assert sum(x[2] for x in expected.values()) > 200
+
+
+def test_rows_made_by_line_dedup_grow_with_the_lines(spark):
+    """Ten times the lines over one vocabulary: a common token alone makes no row."""
+    draw, made = np.random.default_rng(8), []
+    for n in (300, 3000):
+        lines = [" ".join(f"w{k}" for k in np.unique(draw.zipf(1.3, 30) % 3000)) for _ in range(n)]
+        df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+        found = line_dedup.lines(df, "doc_id", "text")
+        every = line_dedup.checkpoint(line_dedup.classes(found, line_dedup.rarity(found)))
+        made.append(line_dedup.candidates(every, 64).count() + 1)
+    assert made[1] <= 20 * made[0] and made[1] <= 3000
+
+
 # 3
 
 
