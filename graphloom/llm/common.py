@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,13 +28,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoints and tables go to the folder that the cluster names in spark.checkpoint.dir; a session without one must set it, as a folder of one machine would be lost with it."""
+    """Checkpoints and tables go to the folder that the cluster names in spark.checkpoint.dir. Where none is named, a local session (tests) gets a temporary one; on a cluster, a folder of one machine would be lost with it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -53,9 +55,9 @@ def drop_table(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_or_whole(df: DataFrame) -> DataFrame:
-    """df to be broadcast if it has MOST_BROADCAST rows (of few columns) at most, else as it is, for a shuffled join. df is counted, so it should be cut off before."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def small_or_whole(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df to be broadcast if it has so many rows (of few columns) at most, else as it is, for a shuffled join. df is counted, so it should be cut off before."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def extended(df: DataFrame, ddl: str) -> T.StructType:
