@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from graphloom.functions.expressions import BUILTINS
 from graphloom.operators import export, metrics
-from graphloom.schema import CONTAINER_KINDS, DEFINITION_KINDS, MODULE_KINDS
+from graphloom.schema import CONTAINER_KINDS, DEFINITION_KINDS, EDGE_KINDS, MODULE_KINDS, NODE_KINDS
 from graphloom.sources.star import CTES
 
 
@@ -67,7 +67,7 @@ GRAPH: dict[str, tuple[str, str]] = {
     "files_by_path": ("", "SELECT * FROM g_files"),
     "files_of_language": ("", "SELECT * FROM g_files WHERE language = 'python'"),
     "symbols_by_kind": ("", "SELECT id, kind, name, file_id FROM g_nodes WHERE kind = 'Function' ORDER BY name, id LIMIT 50000"),
-    "symbols_name_like": ("", "SELECT id, kind, name FROM g_nodes WHERE name ILIKE '%green%b%'"),
+    "symbols_name_like": ("", "SELECT id, kind, name FROM g_nodes WHERE name ILIKE '%red%r%'"),
     "symbols_by_file": ("", "SELECT id, kind, name FROM g_nodes WHERE file_id = 3"),
     "symbols_by_prefix": ("", "SELECT id, name FROM g_nodes WHERE starts_with(name, 'un') ORDER BY name, id LIMIT 20 OFFSET 5"),
     "symbol_by_id": ("", "SELECT * FROM g_nodes WHERE id = 1000010"),
@@ -113,9 +113,18 @@ GRAPH: dict[str, tuple[str, str]] = {
  FROM g_edges e JOIN g_nodes s ON s.id = source_node_id JOIN g_nodes t ON t.id = target_node_id JOIN layers a ON a.file_id = s.file_id JOIN layers b ON b.file_id = t.file_id WHERE a.layer <> b.layer AND NOT (a.layer = 'west' AND b.layer = 'south') AND NOT (a.layer = 'south' AND b.layer = 'west')) GROUP BY rule_name, sf, tf"""),
     "pattern_findings": ("", "SELECT 'Warning' AS severity, 'Suspicious name: ' || name AS message, start_line AS line, name AS symbol, 'undefined' AS rule FROM g_nodes WHERE contains(name, 'undef_') OR contains(name, 'println') UNION ALL SELECT 'Info', 'Green name: ' || name, start_line, name, 'green' FROM g_nodes WHERE contains(name, 'green')"),
     "plugin_summary": ("one AS (SELECT (SELECT count(*) FROM g_files) AS f, (SELECT count(*) FROM g_nodes) AS n, (SELECT count(*) FROM g_edges) AS e, (SELECT count(*) FILTER (kind = 'Method') / count(*) FILTER (kind IN ('Function', 'Method')) FROM g_nodes) AS r)", "SELECT 'Info' AS severity, format('Repository summary: {} files, {} symbols, {} edges (avg {:.1f} symbols/file)', f, n, e, n / f) AS message, 'summary' AS rule FROM one UNION ALL SELECT 'Warning', format('High symbol count ({}) — consider splitting large modules', n), 'large_codebase' FROM one WHERE n > 2000 UNION ALL SELECT 'Info', format('High method ratio ({:.0f}%) — strongly object-oriented codebase', r * 100), 'oop_ratio' FROM one WHERE r > 0.2"),
-    "plugin_run_all": ("", "SELECT 'metrics-summary' AS plugin, 'summary' AS rule, CAST(1 AS BIGINT) AS n"),
+    "plugin_run_all": ("", "SELECT 'metrics-summary' AS plugin, 'summary' AS rule, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'metrics-summary', 'large_codebase', 1 FROM g_nodes HAVING count(*) > 50000 UNION ALL SELECT 'names', 'undefined', count(*) FROM g_nodes WHERE contains(name, 'undef_') OR contains(name, 'println') HAVING count(*) > 0 UNION ALL SELECT 'names', 'green', count(*) FROM g_nodes WHERE contains(name, 'green') HAVING count(*) > 0"),
+    "plugin_high_impact": ("t AS (SELECT id, list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS terms FROM g_nodes)", "SELECT relative_path, count(*) AS n FROM t, (VALUES ('src/supplier.ts', ['supplier']), ('lib/red_rod.py', ['red', 'rod']), ('x/widget.test.js', ['widget', 'test']), ('none/nowhere.go', ['nowhere'])) v(relative_path, wanted) WHERE list_has_all(terms, wanted) GROUP BY 1 HAVING count(*) > 10"),
+    "broken_refs_of_kind": (f"{IMPORTED}, {DEFS}, {DEAD}", "SELECT source_node_id, ref_name, file_id, line, target_name FROM dead"),
+    "known_kinds": ("", f"SELECT 'node' AS what, CASE WHEN id % 3 = 0 OR kind NOT IN ({listed(NODE_KINDS)}) THEN 'Anonymous' ELSE kind END AS kind, count(*) AS n FROM g_nodes GROUP BY 2 UNION ALL SELECT 'edge', CASE WHEN id % 4 = 1 OR kind NOT IN ({listed(EDGE_KINDS)}) THEN 'References' ELSE kind END, count(*) FROM g_edges GROUP BY 2"),
+    "files_matching": ("", "SELECT id, relative_path FROM g_files WHERE contains(lower(relative_path), 'nation_1')"),
+    "symbol_tree": ("", "SELECT n.id, CAST(e.source_node_id AS VARCHAR) AS parent_module, n.kind AS parent_class FROM g_nodes n LEFT JOIN g_edges e ON e.kind = 'Contains' AND e.target_node_id = n.id"),
+    "graph_snapshot": (f"{DEGREES}, {CLOSURE}, one AS (SELECT (SELECT count(*) FROM g_nodes) AS total_nodes, (SELECT count(*) FROM g_edges) AS total_edges, (SELECT count(*) FROM g_nodes WHERE kind = 'File') AS total_files, (SELECT round(coalesce(avg(greatest(1, coalesce(contains_out, 0) + 1)), 0), 9) FROM g_nodes n LEFT JOIN deg ON deg.id = n.id WHERE kind IN ('Function', 'Method')) AS avg_complexity, (SELECT coalesce(max(greatest(1, coalesce(contains_out, 0) + 1)), 0) FROM g_nodes n LEFT JOIN deg ON deg.id = n.id WHERE kind IN ('Function', 'Method')) AS max_complexity, (SELECT count(*) - count(DISTINCT component) FROM scc) AS circular_deps)", " UNION ALL ".join(f"SELECT CAST(7 AS BIGINT) AS snapshot_id, '{m}' AS metric_name, CAST({m} AS DOUBLE) AS metric_value FROM one" for m in ("total_nodes", "total_edges", "total_files", "avg_complexity", "max_complexity", "circular_deps"))),
+    "watched_and_found": ("", "SELECT id, relative_path FROM g_files WHERE id % 2 = 0"),
+    "unique_files": ("", "SELECT max(id) AS id, language AS relative_path, arg_max(repo_root, id) AS repo_root FROM g_files GROUP BY language"),
+    "export_json_lines": ("", "SELECT 'node' AS what, CAST(id AS VARCHAR) AS id, kind, name, CAST(NULL AS VARCHAR) AS source_node_id, CAST(NULL AS VARCHAR) AS target_node_id FROM g_nodes UNION ALL SELECT 'edge', CAST(id AS VARCHAR), kind, NULL, CAST(source_node_id AS VARCHAR), CAST(target_node_id AS VARCHAR) FROM g_edges"),
     "search_terms": (TERMS, "SELECT id, name FROM tok JOIN g_nodes USING (id) WHERE list_contains(terms, 'supplier') AND list_contains(terms, '000000007') ORDER BY id LIMIT 50"),
-    "search_like_fallback": ("", "SELECT id, name FROM g_nodes WHERE name ILIKE '%een_%' ORDER BY name, id LIMIT 50000"),
+    "search_like_fallback": ("", "SELECT id, name FROM g_nodes WHERE name ILIKE '%ed_r%' ORDER BY name, id LIMIT 50000"),
     "search_bm25": (TERMS + ", k AS (SELECT t.id, terms, len(terms) AS len FROM tok t JOIN g_nodes n ON n.id = t.id WHERE kind <> 'Import' AND len(terms) > 0), s AS (SELECT count(*) AS n, avg(len) AS mean FROM k), w AS (SELECT id, len, q, len(list_filter(terms, lambda t: starts_with(t, q))) AS tf FROM k, (VALUES ('supplier'), ('println')) v(q)), d AS (SELECT q, count(*) AS df FROM w WHERE tf > 0 GROUP BY q)",
         "SELECT id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len / mean))), 6) AS rank FROM w JOIN d ON d.q = w.q, s WHERE tf > 0 GROUP BY id ORDER BY rank DESC, id LIMIT 40"),
     "export_dot_lines": ("", f"""SELECT 0 AS section, CAST(i AS BIGINT) AS id, l AS line FROM (VALUES (0, 'digraph code {{'), (1, '  rankdir=LR;'), (2, '  node [shape=box, style=filled, fontname="monospace"];')) v(i, l) UNION ALL SELECT 3, 0, '}}'
@@ -126,7 +135,7 @@ GRAPH: dict[str, tuple[str, str]] = {
     "changed_files": (STORED, "SELECT f.relative_path, h AS hash FROM (SELECT relative_path, CASE WHEN language = 'go' THEN sha256(relative_path) ELSE sha256(language) END AS h FROM g_files) f LEFT JOIN stored s ON s.relative_path = f.relative_path WHERE s.hash IS NULL OR s.hash <> h"),
     "deleted_files": (STORED, "SELECT * FROM stored WHERE relative_path NOT IN (SELECT relative_path FROM g_files WHERE repo_root <> 'ASIA')"),
     "cascade_after_delete": (LEFT, "SELECT 'files' AS what, count(*) AS n FROM g_files WHERE id NOT IN (2, 5) UNION ALL SELECT 'nodes', count(*) FROM g_nodes WHERE file_id NOT IN (2, 5) UNION ALL SELECT 'edges', count(*) FROM g_edges WHERE source_node_id NOT IN (SELECT id FROM gone) AND target_node_id NOT IN (SELECT id FROM gone)"),
-    "incremental_vs_full": ("", "SELECT count(*) AS n, 'nodes' AS what FROM g_nodes UNION ALL SELECT count(*), 'edges' FROM g_edges"),
+    "incremental_vs_full": ("", "SELECT 'nodes' AS what, true AS in_full, true AS in_incremental, count(*) AS n FROM g_nodes UNION ALL SELECT 'edges', true, true, count(*) FROM g_edges"),
     "regression_classify": (BENCH, "SELECT * FROM reg WHERE severity IS NOT NULL"),
     "regression_counts": (BENCH, "SELECT count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'Significant') AS significant, count(*) FILTER (severity = 'Warning') AS warning, count(*) FILTER (severity = 'Improvement') AS improvement FROM reg"),
     "bench_group_report": (BENCH, "SELECT string_split(name, '/')[1] AS group_name, count(*) AS n, min(base) AS min_ns, max(base) AS max_ns, list_sort(list(base))[count(*) // 2 + 1] AS median_ns FROM cur GROUP BY 1"),

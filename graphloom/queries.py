@@ -81,7 +81,7 @@ def symbols_by_kind(g):
 
 @on_graph
 def symbols_name_like(g):
-    return lookup.symbols(g.nodes, name="GREEN%b").select("id", "kind", "name")
+    return lookup.symbols(g.nodes, name="RED%r").select("id", "kind", "name")
 
 
 @on_graph
@@ -325,7 +325,52 @@ def plugin_summary(g):
 
 @on_graph
 def plugin_run_all(g):
-    return plugins.Registry().run_all(g).groupBy("plugin", "rule").agg(F.count("*").alias("n"))
+    """One plugin fails; the others run."""
+    registry = plugins.Registry()
+    registry.register("names", lambda graph: plugins.pattern_findings(graph, PATTERNS))
+    registry.register("broken", lambda graph: graph.nodes.select("no_such_column"))
+    return registry.run_all(g).groupBy("plugin", "rule").agg(F.count("*").alias("n"))
+
+
+@on_graph
+def plugin_high_impact(g):
+    """Changed files whose base name's terms many nodes hold."""
+    paths = ("src/supplier.ts", "lib/red_rod.py", "x/widget.test.js", "none/nowhere.go")
+    return plugins.high_impact(g.nodes.sparkSession.createDataFrame([(p,) for p in paths], "relative_path string"), g.nodes)
+
+
+@on_graph
+def broken_refs_of_kind(g):
+    return lookup.broken_refs_by_kind(resolve.broken_refs(g), "DeadImport").select("source_node_id", "ref_name", "file_id", "line", "target_name")
+
+
+@on_graph
+def known_kinds(g):
+    """Kinds as another tool may write them: unknown ones fall back."""
+    kind = F.when(F.col("id") % 3 == 0, F.lower("kind")).otherwise(F.col("kind"))
+    nodes = g.nodes.select(F.lit("node").alias("what"), lookup.known_kind(kind).alias("kind"))
+    edges = g.edges.select(F.lit("edge").alias("what"), lookup.known_edge_kind(F.when(F.col("id") % 4 == 1, F.upper("kind")).otherwise(F.col("kind"))).alias("kind"))
+    return nodes.unionByName(edges).groupBy("what", "kind").agg(F.count("*").alias("n"))
+
+
+@on_graph
+def files_matching(g):
+    return lookup.files_matching(g.files, "NATION_1").select("id", "relative_path")
+
+
+@on_graph
+def symbol_tree(g):
+    """Each part's module by its Contains edge, as properties that name it."""
+    owner = g.edges.filter("kind = 'Contains'").select(F.col("target_node_id").alias("id"), F.col("source_node_id").cast("string").alias("owner"))
+    named = g.nodes.join(owner, "id", "left").withColumn("properties", F.to_json(F.struct(F.col("owner").alias("parent_module"), F.col("kind").alias("parent_class"))))
+    return lookup.symbol_tree(named).select("id", "parent_module", "parent_class")
+
+
+@on_graph
+def graph_snapshot(g):
+    """A snapshot's row and its metric rows."""
+    row = history.snapshot(g, 7, "abc").withColumn("avg_complexity", F.round("avg_complexity", 9))
+    return history.metric_rows(row)
 
 
 @on_graph
@@ -335,7 +380,7 @@ def search_terms(g):
 
 @on_graph
 def search_like_fallback(g):
-    return search.search(g.nodes, "een_").select("id", "name")
+    return search.search(g.nodes, "ed_r").select("id", "name")
 
 
 @on_graph
@@ -353,6 +398,15 @@ def export_csv_lines(g):
     return export.csv_lines(g.nodes, ["id", "kind", "name", "file_id"])
 
 
+@on_graph
+def export_json_lines(g):
+    """Each line's own fields, read back."""
+    fields = ("id", "kind", "name", "source_node_id", "target_node_id")
+    what = F.when(F.col("line").startswith('{"node"'), "node").otherwise("edge")
+    value = lambda f: F.coalesce(F.get_json_object("line", f"$.node.{f}"), F.get_json_object("line", f"$.edge.{f}")).alias(f)
+    return export.json_lines(g).select(what.alias("what"), *map(value, fields))
+
+
 @on_graph
 def export_json_counts(g):
     return export.json_lines(g).select(F.when(F.col("line").startswith('{"node"'), "node").otherwise("edge").alias("what")).groupBy("what").agg(F.count("*").alias("n"))
@@ -373,6 +427,19 @@ def deleted_files(g):
     return incremental.deleted_files(g.files.filter("repo_root <> 'ASIA'"), stored_files(g))
 
 
+@on_graph
+def watched_and_found(g):
+    """Files that a notifier names and that are there."""
+    paths = g.nodes.filter("kind = 'File'").select(F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit(".bak"))).alias("relative_path"))
+    return incremental.watched_and_found(paths.union(paths), g.files).select("id", "relative_path")
+
+
+@on_graph
+def unique_files(g):
+    """Of files with one path the last; here each language's."""
+    return incremental.unique_files(g.files.select("id", F.col("language").alias("relative_path"), "repo_root"))
+
+
 @on_graph
 def cascade_after_delete(g):
     left = incremental.remove_files(g, g.files.filter("id IN (2, 5)"))
@@ -381,13 +448,18 @@ def cascade_after_delete(g):
 
 @on_graph
 def incremental_vs_full(g):
-    """Removing files and adding their rows back gives the graph again: what differs, by table."""
+    """Files taken out by remove_files() and put back with their nodes and all edges that touch these: rows of the graph by whether both have them."""
     gone = g.files.filter("id IN (2, 5)")
     left = incremental.remove_files(g, gone)
-    back_nodes = left.nodes.unionByName(g.nodes.join(gone.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(*g.nodes.columns))
-    back_edges = left.edges.unionByName(g.edges.join(left.edges.select("id"), "id", "left_anti"))
-    nodes = back_nodes.join(g.nodes.select("id"), "id", "full_outer").agg(F.count("*").alias("n")).withColumn("what", F.lit("nodes"))
-    return nodes.unionByName(back_edges.agg(F.count("*").alias("n")).withColumn("what", F.lit("edges")))
+    nodes = g.nodes.join(gone.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(*g.nodes.columns)
+    ends = nodes.select(F.col("id").alias("end"))
+    edges = g.edges.join(ends, F.col("source_node_id") == F.col("end"), "left_semi").union(g.edges.join(ends, F.col("target_node_id") == F.col("end"), "left_semi")).distinct()
+
+    def held(what: str, whole: DataFrame, back: DataFrame) -> DataFrame:
+        both = whole.withColumn("whole", F.lit(1)).join(back.withColumn("back", F.lit(1)), whole.columns, "full_outer")
+        return both.groupBy(F.lit(what).alias("what"), F.col("whole").isNotNull().alias("in_full"), F.col("back").isNotNull().alias("in_incremental")).agg(F.count("*").alias("n"))
+
+    return held("nodes", g.nodes, left.nodes.unionByName(nodes)).unionByName(held("edges", g.edges, left.edges.unionByName(edges)))
 
 
 def daily_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def discover(spark: SparkSession, root: str, exclude: tuple[str, ...] = EXCLUDED
     rows = rows.filter(F.col("language").isNotNull() & wanted(F.col("relative_path"), exclude, patterns))
     if most_bytes is not None:
         rows = rows.filter(F.col("length") <= most_bytes)
-    text = F.decode("content", "utf-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     rows = rows.select(
         F.lit(root).alias("repo_root"), "relative_path", "language", F.sha2("content", 256).alias("hash"), F.col("length").alias("size"),
         line_count(text).alias("line_count"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("last_modified"), text.alias("content"),
