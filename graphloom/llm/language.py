@@ -10,7 +10,8 @@ language, decides.
 Learning: the filter is fitted on about per_language (2,000) labelled texts of
 each language, chosen by a hash of their ids. An n-gram enters a language's slice if
 it makes up min_share (1e-5) or more of that language's n-grams, so a slice
-holds at most 1 / min_share n-grams whatever the input. At most 64 languages.
+holds at most 1 / min_share n-grams whatever the input. A mask has as many words of 64 bits as
+the languages need.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; so
 is every text if nothing could be learned. Ties go to the first language by name. Texts are
@@ -59,28 +60,36 @@ class LanguageFilter:
 
     def __init__(self, by_language: dict[str, np.ndarray]):
         self.names = sorted(by_language)
-        if len(self.names) > 64:
-            raise ValueError("at most 64 languages")
         most = max((len(x) for x in by_language.values()), default=0)
         self.bits = max(10, int(np.ceil(np.log2(12 * max(1, most)))))
-        kind = np.dtype(f"uint{max(8, 1 << (max(1, len(self.names)) - 1).bit_length())}")
-        self.table = np.zeros(1 << self.bits, kind)
-        for i, name in enumerate(self.names):
-            for slot in slots(by_language[name], self.bits):
-                self.table[slot] |= kind.type(1 << i)
-        self.false_share = np.array([float(((self.table >> kind.type(i)) & kind.type(1)).mean()) ** PROBES for i in range(len(self.names))])
+        self.words = [self.names[i : i + 64] for i in range(0, len(self.names), 64)]
+        self.tables, false = [], []
+        for names in self.words:
+            kind = np.dtype(f"uint{max(8, 1 << (len(names) - 1).bit_length())}")
+            table = np.zeros(1 << self.bits, kind)
+            for i, name in enumerate(names):
+                for slot in slots(by_language[name], self.bits):
+                    table[slot] |= kind.type(1 << i)
+            false += [float(((table >> kind.type(i)) & kind.type(1)).mean()) ** PROBES for i in range(len(names))]
+            self.tables.append(table)
+        self.false_share = np.array(false)
+
+    def masks(self, gram: np.ndarray) -> list[np.ndarray]:
+        """For each word of the mask, the languages that seem to contain each n-gram."""
+        at = slots(gram, self.bits)
+        return [np.bitwise_and.reduce([table[slot] for slot in at]) for table in self.tables]
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each row and language the corrected share of n-grams found."""
         gram, bounds = grams(data, offsets)
-        mask = None
-        for slot in slots(gram, self.bits):
-            mask = self.table[slot] if mask is None else mask & self.table[slot]
         n = np.diff(bounds).astype(np.float64)
         out = np.zeros((len(n), len(self.names)))
-        for i, false in enumerate(self.false_share):
-            hit = segment_sums(((mask >> mask.dtype.type(i)) & mask.dtype.type(1)).astype(np.int64), bounds)
-            out[:, i] = np.maximum(hit - n * false, 0) / (1 - min(false, 0.999)) / np.maximum(n, 1)
+        for word, mask in enumerate(self.masks(gram)):
+            kind = mask.dtype.type
+            for i in range(len(self.words[word])):
+                hit = segment_sums(((mask >> kind(i)) & kind(1)).astype(np.int64), bounds)
+                false = self.false_share[64 * word + i]
+                out[:, 64 * word + i] = np.maximum(hit - n * false, 0) / (1 - min(false, 0.999)) / np.maximum(n, 1)
         return out
 
 

@@ -17,13 +17,14 @@ last windows are carried into the next block, so memory does not grow with
 a partition; only the last window of a partition is short for want of tokens.
 
 Defined cases: a null text is empty and has only the end token; repeated ids
-are documents of their own, next to each other; a text of any length is cut as
+are documents of their own, next to each other; a text of any length, and a run of white space of any length in it, is cut as
 often as needed; extra columns are ignored; an empty table packs into no sequence.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ from graphloom.llm.common import extended
 
 #: The pre-tokeniser's pattern of byte-level BPE vocabularies of this family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that the pattern would have to backtrack over. (Python counts four control characters as white space that Unicode does not.)
+LONG_RUN = re.compile(r"[^\S\x1c-\x1f]{1000,}")
 SHORT_LENGTHS = (256, 512, 1024)
 SENTENCE_PENALTY, HARD_PENALTY = 4, 64
 MAX_GAP = 512
@@ -61,13 +64,21 @@ class ByteTokenizer:
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(map(alphabet.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in added}
         self.encoding = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
+        self.whole = tiktoken.Encoding("one-piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.special = set(added)
         ends = [i for token, i in ranks.items() if b"\n" in token or token.rstrip()[-1:] in (b".", b"!", b"?")]
         self.sentence_end = np.zeros(max([*ranks.values(), *added.values(), 1]) + 1, bool)
         self.sentence_end[ends] = True
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode(text, allowed_special=self.special), np.uint32)
+        """Ids of a text. A long run of white space is taken out first: it is one piece, without its last character unless the text or a special token ends it."""
+        found, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            low, high = run.span()
+            high -= high < len(text) and not text.startswith(tuple(self.special), high)
+            found += self.encoding.encode(text[at:low], allowed_special=self.special) + self.whole.encode_ordinary(text[low:high])
+            at = high
+        return np.array(found + self.encoding.encode(text[at:], allowed_special=self.special), np.uint32)
 
 
 def cut_windows(pos: np.ndarray, penalty: np.ndarray, most: int, short: tuple[int, ...]) -> list[int]:

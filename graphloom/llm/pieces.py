@@ -162,13 +162,16 @@ class PieceModel:
             at += hit[0]
         if self.squeeze:
             keep = [i for i, x in enumerate(out) if x != b" " or (i and out[i - 1] != b" ")]
-            while keep and out[keep[-1]] == b" ":
-                keep.pop()
             out, at_source = [out[i] for i in keep], [at_source[i] for i in keep]
+            while out and (out[-1] == b" " or out[-1].endswith(space)):  # a space mark of the text's own counts at the end only
+                out[-1] = out[-1].removesuffix(space) if out[-1] != b" " else b""
+                if not out[-1]:
+                    out.pop(), at_source.pop()
         spans = [(space if x == b" " else x, s) for x, s in zip(out, at_source, strict=True)]
-        if self.prefix and spans:
-            spans.insert(0, (space, (spans[0][1][0], spans[0][1][0])))
-        align = [s[0] for x, s in spans for _ in x] + [spans[-1][1][1] if spans else 0]
+        if self.prefix and (spans or not self.squeeze):
+            begin = spans[0][1][0] if spans else 0
+            spans.insert(0, (space, (begin, begin)))
+        align = [s[0] for x, s in spans for _ in x] + [len(source)]
         return b"".join(x for x, _ in spans).decode(), np.array(align, np.int64)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

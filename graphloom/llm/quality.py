@@ -1,23 +1,23 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule rejects a document whose feature is above a cutoff. For each rule and
-stratum the cutoffs of a fixed ladder are tested from the loosest on: at each,
-k of the n labelled good documents of the stratum are rejected, and the exact
-binomial tail P(Bin(n, risk) <= k) must be at most the level. The first cutoff that fails
-ends the ladder (fixed-sequence testing), so the level is split over rules and
-strata only (Bonferroni): with probability 1 - error, no used cutoff
-rejects more than its share of good documents in any stratum. The risk of a stratum is split evenly over the
-rules, so all rules together reject at most max_risk of its good documents.
-Of the certified cutoffs the one is used that rejects most bad documents,
-with each good one counted PRICE times; the loosest of equals.
+A rule rejects a document whose feature is above a cutoff of a fixed ladder. In
+each stratum the labelled documents are split by a hash of their ids. On the search
+part a path is built: from no rule on, each step takes the cutoff of one rule
+further down, whichever rejects most bad documents more, with each good one
+counted PRICE times, as long as that is a gain. On the holdout part the steps are
+tested in that order: of n good documents all rules together reject k, and the exact
+binomial tail P(Bin(n, max_risk) <= k) must be at most the level. The first step that
+fails ends the path (fixed-sequence testing), and the one before is used. So no level is spent on
+rules or steps; it is split over the strata only (Bonferroni), and with probability
+1 - error the rules together reject at most max_risk of the good documents in each stratum.
 
 Everything is a DataFrame expression. Features are computed once for every
-whole text and cut off by checkpoint(); calibration is one grouped count; the
+whole text and cut off by checkpoint(); calibration is one grouped count of cells (of each rule the last cutoff exceeded, so at most 9**5 * 4 a stratum); the
 verdict is an expression over a few literals. No text is shuffled.
 
 Defined cases: a null text is empty (no words; base_failed); a null stratum is
 a stratum of its own; strata with too few labels to certify anything, and those
-without labels, use no rule; labels for unknown ids and null labels are
+without labels, use no rule; of steps with equal gains the first rule's loosest cutoff goes first; texts are read whole, however long; labels for unknown ids and null labels are
 ignored; repeated ids count row by row; extra columns are ignored.
 """
 
@@ -34,8 +34,10 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LADDER = (0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)
-PRICE = 20
+LADDER = (0.5, 0.3, 0.2, 0.12, 0.08, 0.05, 0.03, 0.02)
+PRICE = 10
+#: One labelled document in SEARCH is for the search; the others are the holdout.
+SEARCH = 3
 
 
 def without(text: Column, chars: str) -> Column:
@@ -106,6 +108,8 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 @dataclass(frozen=True)
 class Cutoff:
+    """A cutoff in use. good, good_rejected, bad_rejected: the stratum's holdout, and what all its rules together reject there."""
+
     stratum: str | None
     rule: str
     cutoff: float
@@ -114,34 +118,63 @@ class Cutoff:
     bad_rejected: int
 
 
+def path(cells: list[tuple[tuple[int, ...], bool, int]]) -> list[tuple[int, ...]]:
+    """Settings (of each rule the number of cutoffs allowed) from none on, each with one rule further down. cells: of each rule the number of cutoffs exceeded; good; count."""
+    setting, steps = (0,) * len(RULES), []
+    left = cells
+    while True:
+        best = None
+        for r in range(len(RULES)):
+            for depth in range(setting[r] + 1, len(LADDER) + 1):
+                gain = sum(-PRICE * n if good else n for at, good, n in left if at[r] > len(LADDER) - depth)
+                if gain > 0 and (best is None or gain > best[0]):
+                    best = gain, r, depth
+        if best is None:
+            return steps
+        _, r, depth = best
+        setting = (*setting[:r], depth, *setting[r + 1 :])
+        steps.append(setting)
+        left = [c for c in left if not rejected(c[0], setting)]
+
+
+def rejected(at: tuple[int, ...], setting: tuple[int, ...]) -> bool:
+    """A value that exceeds a cutoff exceeds all stricter ones, so it exceeds the depth-th if it exceeds more than len(LADDER) - depth."""
+    return any(x > len(LADDER) - depth for x, depth in zip(at, setting, strict=True) if depth)
+
+
+def certified(steps: list[tuple[int, ...]], cells: list[tuple[tuple[int, ...], bool, int]], max_risk: float, level: float) -> tuple[int, ...] | None:
+    """The last setting of the path before the first that fails on the holdout's cells."""
+    good, last = sum(n for _, g, n in cells if g), None
+    for setting in steps:
+        lost = sum(n for at, g, n in cells if g and rejected(at, setting))
+        if not good or lost > max_risk * good or binomial_tail(lost, good, max_risk) > level:
+            break
+        last = setting
+    return last
+
+
 def calibrate(found: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_risk: float = 0.02, error: float = 0.05) -> list[Cutoff]:
     """The certified cutoffs. labels: id and a label, 1 for good and 0 for bad documents."""
     known = found.filter("not base_failed").join(labels.select(id_col, F.col(label_col).cast("int").alias("__good")).filter("__good in (0, 1)"), id_col)
-    good = F.col("__good") == 1
-    counts = known.groupBy("stratum").agg(
-        F.count_if(good).alias("good"),
-        *[F.count_if(side & (F.col(rule) > cutoff)).alias(f"{name}|{rule}|{i}") for name, side in (("good", good), ("bad", ~good)) for rule in RULES for i, cutoff in enumerate(LADDER)],
-    )
-    rows = counts.collect()  # one a stratum
-    level, risk, out = error / max(1, len(rows) * len(RULES)), max_risk / len(RULES), []
-    for row in rows:
-        for rule in RULES:
-            best = None
-            for i, cutoff in enumerate(LADDER):
-                rejected, bad = row[f"good|{rule}|{i}"], row[f"bad|{rule}|{i}"]
-                if not row["good"] or rejected > risk * row["good"] or binomial_tail(rejected, row["good"], risk) > level:
-                    break
-                worth = bad - PRICE * rejected
-                if worth > 0 and (best is None or worth > best[0]):
-                    best = worth, Cutoff(row["stratum"], rule, cutoff, row["good"], rejected, bad)
-            if best:
-                out.append(best[1])
+    exceeded = [sum((F.col(rule) > cutoff).cast("int") for cutoff in LADDER).alias(rule) for rule in RULES]
+    part = (F.pmod(F.xxhash64(id_col, F.lit(4)), F.lit(SEARCH)) == 0).alias("search")
+    rows = known.select("stratum", part, (F.col("__good") == 1).alias("good"), *exceeded).groupBy("stratum", "search", "good", *RULES).count().collect()
+    strata: dict[str | None, tuple[list, list]] = {}
+    for r in rows:
+        strata.setdefault(r["stratum"], ([], []))[r["search"]].append((tuple(r[rule] for rule in RULES), r["good"], r["count"]))
+    out = []
+    for name, (holdout, search) in strata.items():
+        setting = certified(path(sorted(search)), holdout, max_risk, error / len(strata))
+        if setting:
+            good = sum(n for _, g, n in holdout if g)
+            lost, caught = (sum(n for at, g, n in holdout if g is side and rejected(at, setting)) for side in (True, False))
+            out += [Cutoff(name, rule, LADDER[depth - 1], good, lost, caught) for rule, depth in zip(RULES, setting, strict=True) if depth]
     return out
 
 
 def judge(found: DataFrame, cutoffs: list[Cutoff]) -> DataFrame:
     """found, with kept: neither base rules nor a cutoff of the row's stratum reject it."""
-    rejected = F.lit(False)
+    out = F.lit(False)
     for c in cutoffs:
-        rejected = rejected | (F.col("stratum").eqNullSafe(F.lit(c.stratum)) & (F.col(c.rule) > c.cutoff))
-    return found.withColumn("kept", ~F.col("base_failed") & ~rejected)
+        out = out | (F.col("stratum").eqNullSafe(F.lit(c.stratum)) & (F.col(c.rule) > c.cutoff))
+    return found.withColumn("kept", ~F.col("base_failed") & ~out)

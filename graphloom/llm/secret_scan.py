@@ -2,11 +2,16 @@
 
 Two first-order Markov models over characters are trained: one of random
 strings, one of ordinary identifiers. A run of identifier characters is a
-secret if the sum of the log ratios of its transitions is at least min_ratio,
-and at least min_mean a transition. The labelled samples: the random class is
-digests of a counter in base 64, base 32-like capitals and hexadecimal; the
-ordinary class is the longer words of about sample_documents (2,000) documents
-without a base match, chosen by a hash of their ids. Both bounds hold at any
+secret if the sum of the log ratios of its transitions reaches a threshold.
+
+Labelled samples come from about sample_documents (2,000) documents, chosen by
+a hash of their ids. Random: what the base patterns match there, and digests of
+a counter in base 64, base 32-like capitals and hexadecimal. Ordinary: the longer words
+of documents without a base match, and identifiers of two to four of their words (snake,
+camel, kebab and constant case, paths, with and without numbers). Half of each class
+trains the models. The threshold is the lowest at which at most max_false (1 in
+1,000) of the other half's ordinary identifiers are flagged, 0 at least; the model
+keeps that share and the share of random strings found. Both bounds hold at any
 input size; the table of ratios has one entry for each pair of characters.
 
 Everything is a DataFrame expression: matches are marked in the text with two
@@ -15,18 +20,19 @@ give the spans in code points. No shuffle but for the training counts.
 
 Defined cases: a null text is empty and has no spans; private-use marks in a
 text count as other characters; added spans never overlap base ones; equal
-rows give equal results; extra columns are ignored; with no ordinary sample
-(empty table) the ordinary model is uniform.
+rows give equal results; extra columns are ignored; texts are read whole, however long; with no ordinary sample
+(empty table) the ordinary model is uniform and the threshold 0.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import hash_share
+from graphloom.llm.common import checkpoint, hash_share
 
 OPEN, CLOSE = "", ""
 #: The base kinds in their order, their patterns and the fewest characters, of group 2 for the first.
@@ -34,7 +40,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 BASE = (("assign", ASSIGN, 12), ("access", "AKIA[A-Z0-9]+", 18), ("hex", "[0-9a-f]+", 16))
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
-CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
+#: Shorter runs carry too few transitions to tell the classes apart.
+LEAST = 16
+CANDIDATE = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 
 
 def marked(text: Column, pattern: str) -> Column:
@@ -107,26 +115,76 @@ def log_ratios(random: dict[int, int], ordinary: dict[int, int], smoothing: floa
     return [math.log(x) - math.log(y) for rows in pairs for x, y in zip(*rows, strict=True)]
 
 
-def random_samples(df: DataFrame, n: int = 2000) -> DataFrame:
+@dataclass(frozen=True)
+class SecretModel:
+    """ratios of all pairs of characters, threshold of their sum; on the held-out half, shares of ordinary identifiers flagged and of random strings found."""
+
+    ratios: list[float]
+    threshold: float
+    false_share: float
+    found_share: float
+
+
+def digests(df: DataFrame, n: int = 2000) -> DataFrame:
     """Labelled samples of the random class, from digests of a counter."""
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
-    shapes = F.array(base64, F.translate(base64, "+/", "_-"), F.upper(base64), digest, F.substring(base64, 1, 24))
+    shapes = F.array(base64, F.translate(base64, "+/", "_-"), F.upper(base64), digest, F.substring(base64, 1, 24), F.substring(base64, 8, LEAST))
     return df.sparkSession.range(0, n, 1, 4).select(F.explode(shapes).alias("token"))
 
 
-def learn(df: DataFrame, id_col: str, text_col: str, sample_documents: int = 2000) -> list[float]:
+def identifiers(words: Column) -> Column:
+    """Ordinary identifiers of neighbouring words, in the styles of names, paths and constants."""
+    def named(i: Column) -> Column:
+        w = [F.lower(F.element_at(words, i + k)) for k in range(4)]
+        c = [F.initcap(x) for x in w]
+        n = F.pmod(F.xxhash64(w[0], i), F.lit(300)).cast("string")
+        styles = (
+            F.concat_ws("_", w[0], w[1], w[2]), F.concat(w[0], c[1], c[2]), F.concat_ws("-", w[0], w[1], w[2]), F.concat_ws("/", w[0], w[1], F.concat_ws("_", w[2], w[3])), F.upper(F.concat_ws("_", w[0], w[1], w[2])), F.concat(c[0], c[1], c[2]),
+            F.concat_ws("_", w[0], w[1], n), F.concat(w[0], c[1], n), F.concat_ws("/", w[0], F.concat_ws("-", w[1], w[2], n)), F.concat(c[0], c[1], c[2], c[3]), F.concat_ws("/", w[0], F.concat(w[1], c[2])), F.concat_ws("_", w[0], w[1], w[2], w[3]),
+        )
+        return F.element_at(F.array(*styles), (F.pmod(F.xxhash64(w[0], w[1]), F.lit(len(styles))) + 1).cast("int"))
+
+    return F.when(F.size(words) >= 4, F.transform(F.sequence(F.lit(1), F.size(words) - 3, F.lit(2)), named)).otherwise(F.array().cast("array<string>"))
+
+
+def labelled_samples(df: DataFrame, id_col: str, text_col: str, sample_documents: int) -> DataFrame:
+    """token, random (its label), train (which half it is in)."""
     share = min(1.0, sample_documents / max(1, df.count()))
-    clean = df.filter(hash_share(F.col(id_col), 6) < share).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    clean = clean.filter(~F.col("text").rlike("|".join(f"(?:{p})" for p in (ASSIGN, "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"))))
-    words = clean.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("token"))
-    return log_ratios(pair_counts(random_samples(df)), pair_counts(words))
+    texts = df.filter(hash_share(F.col(id_col), 6) < share).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = [F.expr(f"regexp_extract_all(text, {_sql(p)}, {g})") for p, g in ((ASSIGN, 2), (base_pattern(1), 0), (base_pattern(2), 0))]
+    found = texts.select("text", F.filter(F.concat(*base), lambda t: F.length(t) >= LEAST).alias("base"), F.exists(F.concat(*base), lambda t: F.length(t) >= 12).alias("flagged"))
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,12}"), F.lit(0))
+    clean = found.filter("not flagged").select(F.concat(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{6,}"), F.lit(0)), identifiers(words)).alias("tokens"))
+    random = found.select(F.explode("base").alias("token")).union(digests(df))
+    both = random.withColumn("random", F.lit(True)).union(clean.select(F.explode("tokens").alias("token")).withColumn("random", F.lit(False)))
+    return both.distinct().withColumn("train", F.pmod(F.xxhash64("token", F.lit(8)), F.lit(2)) == 0)
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_table(ratios: list[float]) -> Column:
+    return F.expr("array(" + ",".join(f"{x!r}D" for x in ratios) + ")")
+
+
+def learn(df: DataFrame, id_col: str, text_col: str, sample_documents: int = 2000, max_false: float = 0.001) -> SecretModel:
+    samples = checkpoint(labelled_samples(df, id_col, text_col, sample_documents))
+    counts = [pair_counts(samples.filter(F.col("train") & (F.col("random") == side)).select("token")) for side in (True, False)]
+    ratios = log_ratios(*counts)
+    held = samples.filter(~F.col("train") & (F.length("token") >= LEAST)).select("random", total_ratio(F.col("token"), literal_table(ratios)).alias("ratio"))
+    # percentile_disc gives a value of the sample; what is above it is at most max_false of all.
+    top = held.filter("not random").agg(F.expr(f"percentile_disc({1 - max_false}) WITHIN GROUP (ORDER BY ratio)").alias("top")).first()["top"]
+    threshold = max(0.0, math.nextafter(top, math.inf)) if top is not None else 0.0
+    shares = {r["random"]: r["share"] for r in held.groupBy("random").agg(F.avg((F.col("ratio") >= threshold).cast("double")).alias("share")).collect()}
+    return SecretModel(ratios, threshold, shares.get(False, 0.0), shares.get(True, 0.0))
 
 
-def scan(df: DataFrame, ratios: list[float], id_col: str, text_col: str, *keep: Column, min_ratio: float = 14.0, min_mean: float = 0.8) -> DataFrame:
+def scan(df: DataFrame, model: SecretModel, id_col: str, text_col: str, *keep: Column) -> DataFrame:
     """The id, keep's columns, base (spans of the base kinds) and spans (all), both arrays of (start, order, end, kind) in order."""
     safe = F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, "��")
-    table = F.expr("array(" + ",".join(f"{x!r}D" for x in ratios) + ")")
+    table = literal_table(model.ratios)
     rows = df.select(F.col(id_col), *keep, safe.alias("__safe"))
     patterns = [*(base_pattern(i) for i in range(len(BASE))), CANDIDATE]
     rows = rows.withColumns({f"__parts{i}": marked(F.col("__safe"), p) for i, p in enumerate(patterns)})
@@ -137,7 +195,7 @@ def scan(df: DataFrame, ratios: list[float], id_col: str, text_col: str, *keep:
         return ~F.exists(F.col("base"), lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
 
     def secret(run: Column) -> Column:
-        return total_ratio(run["match"], table) >= F.greatest(F.lit(min_ratio), min_mean * (F.length(run["match"]) - 1))
+        return total_ratio(run["match"], table) >= model.threshold
 
     added = F.transform(F.filter("__runs", lambda r: apart(r) & secret(r)), lambda r: F.struct(r["start"], F.lit(len(BASE)).alias("order"), r["end"], F.lit("random").alias("kind")))
     return rows.withColumn("spans", F.array_sort(F.concat("base", added))).drop("__safe", "__runs", *(f"__parts{i}" for i in range(len(patterns))))

@@ -7,7 +7,7 @@ likelihood runs through the noisy-or, so it lands on the sentences that
 explain the label, which then can be located.
 
 Learning: about per_label (1,500) labelled documents of each label, chosen by
-a hash of their ids, are turned into word hashes on the executors; the
+a hash of their ids, with most_bytes (16 MB) of text a label at most, are turned into word hashes on the executors; the
 driver fits one weight for each of 2**HASH_BITS hashes. That bound holds
 at any input size. The labels' weights give toxic documents the square root of
 their odds among all labelled rows: half-way (in log-odds) between even classes, which would
@@ -68,8 +68,11 @@ class BagModel:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
     def document_scores(self, scores: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        logs = np.concatenate(([0.0], np.cumsum(np.log1p(-np.minimum(scores, 1 - 1e-12)))))
-        return 1 - np.exp(np.minimum(logs[rows[1:]] - logs[rows[:-1]], 0))
+        """Noisy-or of each row's sentences, summed row by row, so that a score depends on its own text only."""
+        full, out = np.diff(rows) > 0, np.zeros(len(rows) - 1)
+        if full.any():
+            out[full] = 1 - np.exp(np.add.reduceat(np.log1p(-np.minimum(scores, 1 - 1e-12)), rows[:-1][full]))
+        return out
 
 
 def fit(buckets: np.ndarray, first: np.ndarray, rows: np.ndarray, label: np.ndarray, prior: float | None = None, rounds: int = 150, rate: float = 0.3, documents: float = 0.3) -> BagModel:
@@ -115,13 +118,30 @@ def fit(buckets: np.ndarray, first: np.ndarray, rows: np.ndarray, label: np.ndar
     return BagModel(full, float(bias))
 
 
-def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = 1500) -> BagModel:
-    """labels: ids and labels (0 or 1) of the rows to learn from. The sample is drawn from the labels alone, so only its few rows are sent to the texts, which stay where they are."""
+def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = 1500, most_bytes: int = 16 << 20) -> BagModel:
+    """labels: ids and labels (0 or 1) of the rows to learn from.
+
+    The sample is drawn from the labels alone, so only its few rows are sent to the texts, which stay where they are:
+    per_label ids of each label, of which the first by hash are taken whose texts make up most_bytes of each label at
+    most (a longer text is passed over). Of rows that repeat an id the text with the smallest hash is learned from.
+    """
     labels = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
     n = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     limit = F.when(F.col("label") == 1, min(1.0, per_label / n.get(1, 1))).otherwise(min(1.0, per_label / n.get(0, 1)))
-    sample = labels.filter(hash_share(F.col("__id"), 7) < limit)
-    labelled = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id")
+    sample = labels.filter(hash_share(F.col("__id"), 7) < limit).dropDuplicates(["__id"])
+    texts = df.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    sizes = texts.join(F.broadcast(sample), "__id").groupBy("__id", "label").agg(F.min(F.struct("mark", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("row"))
+    rows = sizes.orderBy(F.xxhash64("__id", F.lit(7)), "__id").collect()  # one an id of the sample
+    chosen, used = [], {0: 0, 1: 0}
+    for r in rows:
+        if used[r["label"]] + r["row"]["size"] <= most_bytes:
+            used[r["label"]] += r["row"]["size"]
+            chosen.append((r["__id"], r["row"]["mark"], r["label"]))
+    if not chosen:
+        return fit(np.zeros((0, 1 + len(PREFIXES)), np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    key = df.schema[id_col].dataType.simpleString()
+    wanted = df.sparkSession.createDataFrame(chosen, f"__id {key}, mark long, label int")
+    labelled = texts.join(F.broadcast(wanted), ["__id", "mark"]).dropDuplicates(["__id"]).orderBy("__id")  # in one order, so that each run learns the same
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ its rule has a wildcard that accepts it. Nothing is joined or shuffled; the
 packed masks are a few KB for each thousand rules.
 
 Defined cases: a null URL, or one without "://", has empty host and path and
-matches no host rule; an empty table gives an empty result; equal rows are
+matches no host rule; URLs of any length are read whole; an empty table gives an empty result; equal rows are
 judged alike; columns of the input other than the id and the URL are ignored.
 """
 
@@ -68,13 +68,17 @@ def compile_rules(rules: Sequence[Rule]) -> dict[str, np.ndarray]:
     step, stay = np.zeros((256, words), np.uint64), np.zeros((256, words), np.uint64)
     start, accept = np.zeros(words, np.uint64), np.zeros((len(rules), 2), np.int64)
     no_slash = [c for c in range(256) if c != ord("/")]
+    inner = range(0x80, 0xC0)  # bytes of a character but its first
+    heads = [c for c in range(256) if c not in inner]
     at = 0
     for r, parts in enumerate(cells):
         start[at // 64] |= np.uint64(1 << at % 64)
         for kind, what in parts:
             if kind == "char":
                 at += 1
-                step[range(256) if what == "?" else ord(what), at // 64] |= np.uint64(1 << at % 64)
+                step[heads if what == "?" else ord(what), at // 64] |= np.uint64(1 << at % 64)
+                if what == "?":
+                    stay[inner, at // 64] |= np.uint64(1 << at % 64)
             else:
                 stay[range(256) if what == "**" else no_slash, at // 64] |= np.uint64(1 << at % 64)
         accept[r] = at // 64, at % 64
