@@ -35,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ratios = secret_scan.learn(docs, "doc_id", "text")
-    found = secret_scan.scan(docs, ratios, "doc_id", "text", whole_row(docs))
+    model = secret_scan.learn(docs, "doc_id", "text")
+    found = secret_scan.scan(docs, model, "doc_id", "text", whole_row(docs))
     text = secret_scan.redact(F.col("whole_row.text"), F.col("spans"))
     clean = found.select(F.col("whole_row").withField("text", text).alias("whole_row")).select("whole_row.*")
     return clean.withColumn("n_chars", F.length("text").cast("long"))
