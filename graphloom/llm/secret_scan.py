@@ -10,7 +10,8 @@ a counter in base 64, base 32-like capitals and hexadecimal. Ordinary: the longe
 of documents without a base match, and identifiers of two to four of their words (snake,
 camel, kebab and constant case, paths, with and without numbers). Half of each class
 trains the models. The threshold is the lowest at which at most max_false (1 in
-1,000) of the other half's ordinary identifiers are flagged, 0 at least; the model
+1,000) of the other half's ordinary identifiers are flagged, and at least the logarithm of
+odds, by which ordinary identifiers outnumber random strings (100,000); the model
 keeps that share and the share of random strings found. Both bounds hold at any
 input size; the table of ratios has one entry for each pair of characters.
 
@@ -21,7 +22,7 @@ give the spans in code points. No shuffle but for the training counts.
 Defined cases: a null text is empty and has no spans; private-use marks in a
 text count as other characters; added spans never overlap base ones; equal
 rows give equal results; extra columns are ignored; texts are read whole, however long; with no ordinary sample
-(empty table) the ordinary model is uniform and the threshold 0.
+(empty table) the ordinary model is uniform and the threshold that of the odds.
 """
 
 from __future__ import annotations
@@ -153,10 +154,11 @@ def labelled_samples(df: DataFrame, id_col: str, text_col: str, sample_documents
     share = min(1.0, sample_documents / max(1, df.count()))
     texts = df.filter(hash_share(F.col(id_col), 6) < share).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = [F.expr(f"regexp_extract_all(text, {_sql(p)}, {g})") for p, g in ((ASSIGN, 2), (base_pattern(1), 0), (base_pattern(2), 0))]
-    found = texts.select("text", F.filter(F.concat(*base), lambda t: F.length(t) >= LEAST).alias("base"), F.exists(F.concat(*base), lambda t: F.length(t) >= 12).alias("flagged"))
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,12}"), F.lit(0))
-    clean = found.filter("not flagged").select(F.concat(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{6,}"), F.lit(0)), identifiers(words)).alias("tokens"))
-    random = found.select(F.explode("base").alias("token")).union(digests(df))
+    # What a lambda looks up is a column of its own, so it is computed once a row.
+    found = texts.withColumn("base", F.concat(*base)).withColumn("flagged", F.exists("base", lambda t: F.length(t) >= 12))
+    found = checkpoint(found.withColumn("words", F.regexp_extract_all("text", F.lit("[A-Za-z]{2,12}"), F.lit(0))))
+    clean = found.filter("not flagged").select(F.concat(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{6,}"), F.lit(0)), identifiers(F.col("words"))).alias("tokens"))
+    random = found.select(F.explode("base").alias("token")).filter(F.length("token") >= LEAST).union(digests(df))
     both = random.withColumn("random", F.lit(True)).union(clean.select(F.explode("tokens").alias("token")).withColumn("random", F.lit(False)))
     return both.distinct().withColumn("train", F.pmod(F.xxhash64("token", F.lit(8)), F.lit(2)) == 0)
 
@@ -169,14 +171,14 @@ def literal_table(ratios: list[float]) -> Column:
     return F.expr("array(" + ",".join(f"{x!r}D" for x in ratios) + ")")
 
 
-def learn(df: DataFrame, id_col: str, text_col: str, sample_documents: int = 2000, max_false: float = 0.001) -> SecretModel:
+def learn(df: DataFrame, id_col: str, text_col: str, sample_documents: int = 2000, max_false: float = 0.001, odds: float = 1e5) -> SecretModel:
     samples = checkpoint(labelled_samples(df, id_col, text_col, sample_documents))
     counts = [pair_counts(samples.filter(F.col("train") & (F.col("random") == side)).select("token")) for side in (True, False)]
     ratios = log_ratios(*counts)
     held = samples.filter(~F.col("train") & (F.length("token") >= LEAST)).select("random", total_ratio(F.col("token"), literal_table(ratios)).alias("ratio"))
     # percentile_disc gives a value of the sample; what is above it is at most max_false of all.
     top = held.filter("not random").agg(F.expr(f"percentile_disc({1 - max_false}) WITHIN GROUP (ORDER BY ratio)").alias("top")).first()["top"]
-    threshold = max(0.0, math.nextafter(top, math.inf)) if top is not None else 0.0
+    threshold = max(math.log(odds), math.nextafter(top, math.inf)) if top is not None else math.log(odds)
     shares = {r["random"]: r["share"] for r in held.groupBy("random").agg(F.avg((F.col("ratio") >= threshold).cast("double")).alias("share")).collect()}
     return SecretModel(ratios, threshold, shares.get(False, 0.0), shares.get(True, 0.0))
 

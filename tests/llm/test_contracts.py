@@ -492,7 +492,7 @@ def test_secret_scan(spark, awkward, where):
 #: Identifiers that no model has seen: written by hand, or joined of two parts each.
 NAMES = "get set load save parse build find merge split check".split()
 THINGS = "user_profile_settings HttpRequestHandler page-layout-engine src/main/java/util MAX_RETRY_COUNT invoiceLineItem order_history_v2 feature/login-page-fix tests/unit/test_parser DatabaseConnectionPool".split()
-UNSEEN = [f"{a}{'' if t[0].isupper() else '_'}{t}" for a in NAMES for t in THINGS]
+UNSEEN = [f"{a.upper()}_{t}" if t.isupper() else f"{a}{'' if t[0].isupper() else '_'}{t}" for a in NAMES for t in THINGS]
 
 
 def test_random_strings_are_found_and_unseen_identifiers_left_alone(spark):
