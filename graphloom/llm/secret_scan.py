@@ -11,7 +11,7 @@ of documents without a base match, and identifiers of two to four of their words
 camel, kebab and constant case, paths, with and without numbers). Half of each class
 trains the models. The threshold is the lowest at which at most max_false (1 in
 1,000) of the other half's ordinary identifiers are flagged, and at least the logarithm of
-odds, by which ordinary identifiers outnumber random strings (100,000); the model
+odds, by which ordinary identifiers outnumber random strings (10,000,000); the model
 keeps that share and the share of random strings found. Both bounds hold at any
 input size; the table of ratios has one entry for each pair of characters.
 
@@ -171,7 +171,7 @@ def literal_table(ratios: list[float]) -> Column:
     return F.expr("array(" + ",".join(f"{x!r}D" for x in ratios) + ")")
 
 
-def learn(df: DataFrame, id_col: str, text_col: str, sample_documents: int = 2000, max_false: float = 0.001, odds: float = 1e5) -> SecretModel:
+def learn(df: DataFrame, id_col: str, text_col: str, sample_documents: int = 2000, max_false: float = 0.001, odds: float = 1e7) -> SecretModel:
     samples = checkpoint(labelled_samples(df, id_col, text_col, sample_documents))
     counts = [pair_counts(samples.filter(F.col("train") & (F.col("random") == side)).select("token")) for side in (True, False)]
     ratios = log_ratios(*counts)

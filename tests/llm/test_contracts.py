@@ -507,7 +507,7 @@ def test_random_strings_are_found_and_unseen_identifiers_left_alone(spark):
     test = spark.createDataFrame([(i, f"see {s} here") for i, s in enumerate(secrets + UNSEEN)], "doc_id long, text string")
     hit = {r.doc_id for r in secret_scan.scan(test, model, "doc_id", "text").filter(F.size("spans") > 0).collect()}
     assert len([i for i in hit if i < 200]) >= 190
-    assert len([i for i in hit if i >= 200]) <= 1
+    assert len([i for i in hit if i >= 200]) <= 2
 
 
 def test_added_spans_follow_the_model(spark):
