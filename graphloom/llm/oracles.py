@@ -46,3 +46,37 @@ SELECT page_id, host, path, rule, CASE
  WHEN contains(u, '/login') OR contains(u, '/cart/') THEN 'block' ELSE 'allow' END AS verdict
 FROM c
 """
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{TERM}') AS terms FROM documents),
+g AS (SELECT count(*) FILTER (len(terms) > 0) AS big_n, CAST(sum(len(terms)) AS BIGINT) AS big_l FROM d),
+p AS (SELECT doc_id, any_value(len(terms)) AS n, term, count(*) AS tf FROM (SELECT doc_id, terms, unnest(terms) AS term FROM d) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term, big_n),
+i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all({LOWER}, '{TERM}'))) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+ FROM i JOIN w USING (term) JOIN p USING (term), g GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+OP13 = """
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') AS words FROM t),
+m AS (SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+ [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * len(regexp_extract_all(x, '[A-Z]')) > 5 * length(x), regexp_matches(x, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY x), false)] AS fails
+ FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, good, toxic, fails, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS seq FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT list_aggregate(list_transform(seq, lambda i: substr('ABCDE', i, 1)), 'string_agg', '') AS filter_order, step, seq[step] AS own, seq[:step - 1] AS before FROM o, (SELECT i AS step FROM f)),
+e AS (SELECT part, good, toxic, n, filter_order, step, own, fails[own] AS out, len(list_filter(before, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda y: y)) = 1 AS one FROM c, s),
+a AS (SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT out THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND out THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN gone AND out THEN n ELSE 0 END) AS redundant, sum(CASE WHEN out AND one THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN NOT gone AND out AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND out AND toxic THEN n ELSE 0 END) AS toxic_lost FROM e GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+ CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM a
+"""
