@@ -197,7 +197,7 @@ def heads(blocks: DataFrame, facts, k: int) -> DataFrame:
                 value = scores(weights[term], tf, n, big_n, big_l)
                 some = np.argpartition(-value, k - 1)[:k] if len(value) > k else np.arange(len(value))
                 some = some[value[some] > 0]
-                out.append((np.full(len(some), term), np.full(len(some), segment), refs[some] + segment, value[some]))
+                out.append((np.full(len(some), term), np.full(len(some), segment), refs[some].astype(np.int64) + segment, value[some]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["term", "segment", "ref", "score"])
 

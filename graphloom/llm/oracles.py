@@ -62,6 +62,21 @@ r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DES
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
 """
 
+#: Bytes as hexadecimal digits, two a byte, so that parts of them can be taken.
+OP12 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(len(h) // 2 - 399)) AS pos, h FROM d WHERE len(h) >= 800),
+k AS (SELECT doc_id, pos, md5(substr(h, CAST(2 * pos + 1 AS BIGINT), 800)) AS k FROM p),
+f AS (SELECT doc_id, pos FROM k QUALIFY count(*) OVER (PARTITION BY k) > 1),
+b AS (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 400 THEN 0 ELSE 1 END AS new FROM f),
+r AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM b),
+s AS (SELECT doc_id, run, min(pos) AS low, max(pos) + 400 AS high, lag(max(pos) + 400, 1, 0) OVER (PARTITION BY doc_id ORDER BY min(pos)) AS before FROM r GROUP BY doc_id, run),
+c AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS last, list(struct_pack(x := before, y := low) ORDER BY low) AS gaps FROM s GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(concat(list_aggregate(list_transform(coalesce(gaps, []), lambda g: substr(h, CAST(2 * g.x + 1 AS BIGINT), CAST(2 * (g.y - g.x) AS BIGINT))), 'string_agg', ''), substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT))))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+
 OP13 = """
 WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
 l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),

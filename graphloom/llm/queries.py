@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import filter_audit, language, lexical, line_dedup, minhash, oracles, packing, pieces, quality, secret_scan, toxicity, trie_dedup, url_filter
+from graphloom.llm import filter_audit, language, lexical, line_dedup, minhash, oracles, packing, pieces, quality, secret_scan, suffix_dedup, toxicity, trie_dedup, url_filter
 from graphloom.llm.common import checkpoint, held_out, read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -83,13 +83,18 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", "doc_id", "score")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "doc_id", "text", "source", "quality", "toxic")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_near_dedup, op4_quality, op5_language_id, op6_secret_scan, op7_toxicity, op8_sentencepiece, op9_packing, op10_url_filter, op11_lexical_search, op12_op13_filter_audit)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_near_dedup, op4_quality, op5_language_id, op6_secret_scan, op7_toxicity, op8_sentencepiece, op9_packing, op10_url_filter, op11_lexical_search, op12_suffix_dedup, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": oracles.OP1, "op2_line_dedup": oracles.OP2, "op10_url_filter": oracles.OP10, "op11_lexical_search": oracles.OP11, "op13_filter_audit": oracles.OP13}
+    return {"op1_exact_dedup": oracles.OP1, "op2_line_dedup": oracles.OP2, "op10_url_filter": oracles.OP10, "op11_lexical_search": oracles.OP11, "op12_suffix_dedup": oracles.OP12, "op13_filter_audit": oracles.OP13}
