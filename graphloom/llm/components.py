@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from graphloom.llm.common import checkpoint
 
 #: A key is heavy if it has more than 1 / HEAVY of all rows (and LEAST of them), so there are fewer than HEAVY heavy keys, whatever the size.
 HEAVY, LEAST = 1 << 14, 100
+#: So many links (16 bytes each) fit into one task.
+MOST_LINKS = 1 << 20
 
 
 def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
@@ -26,6 +32,37 @@ def join_spread(rows: DataFrame, other: DataFrame, key: str, heavy: DataFrame) -
     return light.unionByName(marked.filter("__heavy").drop("__heavy").join(few, key))
 
 
+def labels_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the links a, b, and the smallest id of the component of each."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        for end in (a, b):  # the label itself takes the smaller label, too
+            np.minimum.at(label, before[end], least)
+            np.minimum.at(label, end, least)
+        label = label[label]
+        if (label == before).all():
+            return ids, ids[label]
+
+
+def components_of(links: DataFrame, a: str, b: str) -> DataFrame:
+    """As components(), for operators that may use Python: links that fit into a task are joined there, all others as in components(), with the same result."""
+    ends = checkpoint(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null and a <> b"))
+    if ends.limit(MOST_LINKS + 1).count() > MOST_LINKS:
+        return components(ends, "a", "b")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+        if held:
+            found = labels_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["id", "component"])
+
+    return checkpoint(ends.coalesce(1).mapInArrow(join, "id long, component long"))
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """For each id in links, the smallest id of its component: columns id, component.
 

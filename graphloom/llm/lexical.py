@@ -1,7 +1,7 @@
 """Ranked lexical search by TPUT (three-phase uniform threshold) over term-partitioned postings.
 
 A list is a term's postings. The stored table holds it as blocks of one segment's
-rows (a segment: the texts of one task, of at most SEGMENT_TERMS terms), range-partitioned
+rows (a segment: the texts of one task, of about SEGMENT_TERMS postings), partitioned
 by term and segment, so the list of a term that every text has is spread over
 many tasks. Weights and scores are computed when a block is read, as they need the
 counts over all texts.
@@ -270,7 +270,7 @@ def search_wave(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k:
     """item, id, ref and score of each item's documents that can be among its k best, and the place of the stored postings. pairs: item and term (a string)."""
     spark = df.sparkSession
     terms = sorted(r["term"] for r in pairs.select("term").distinct().collect())  # about MOST_TERMS at most
-    stored, place = stored_table(index(df, id_col, text_col, df_broadcast(df, TermTable(terms))).repartitionByRange("term", "segment", "ref"))
+    stored, place = stored_table(index(df, id_col, text_col, df_broadcast(df, TermTable(terms))).repartition("term", "segment", "ref"))
     blocks, texts = stored.filter("term is not null").select("term", "segment", "refs", "tf", "n"), stored.filter("term is null").select("ref", "id", "terms")
     big_n, big_l = texts.filter("terms > 0").agg(F.count("*"), F.coalesce(F.sum("terms"), F.lit(0))).first()
     found = {r["term"]: r["df"] for r in blocks.groupBy("term").agg((F.sum(F.octet_length("refs")) / 4).cast("long").alias("df")).collect()}

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import GOLDEN, checkpoint, mix64, row_ranges, small_or_whole, text_buffers, window_hashes, word_hashes
-from graphloom.llm.components import components, heavy_keys, join_spread
+from graphloom.llm.components import components_of, heavy_keys, join_spread
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -327,7 +327,7 @@ def block(value: Column, blocks: Column) -> Column:
 def verified_links(df: DataFrame, contents: DataFrame, candidates: DataFrame, id_col: str, text_col: str, frequent) -> DataFrame:
     """Links between contents, checked on their texts, enough to connect all that are linked."""
     blocks = F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks")
-    member = checkpoint(components(candidates, "a", "b").join(contents.select(F.col("content").alias("id"), "size", "sketch", F.col("row.id").alias("row_id"), F.col("row.mark").alias("mark")), "id").withColumnRenamed("id", "content"))
+    member = checkpoint(components_of(candidates, "a", "b").join(contents.select(F.col("content").alias("id"), "size", "sketch", F.col("row.id").alias("row_id"), F.col("row.mark").alias("mark")), "id").withColumnRenamed("id", "content"))
     placed = checkpoint(joined_sums(member, "component", blocks).withColumn("block", block(F.col("content"), F.col("blocks"))))
 
     def dealt(rows: DataFrame, groups: Column) -> DataFrame:
@@ -344,7 +344,7 @@ def verified_links(df: DataFrame, contents: DataFrame, candidates: DataFrame, id
     many = placed.filter("blocks > 1")
     if many.isEmpty():
         return links
-    named = components(links, "a", "b").select(F.col("id").alias("content"), F.col("component").alias("class"))
+    named = components_of(links, "a", "b").select(F.col("id").alias("content"), F.col("component").alias("class"))
     many = checkpoint(many.join(named, "content", "left").withColumn("class", F.coalesce("class", "content")))
     largest = many.groupBy("component", "class").agg(F.count("*").alias("n")).groupBy("component").agg(F.max(F.struct("n", "class")).alias("most"))
     many = checkpoint(join_spread(many, largest, "component", heavy_keys(many, "component")).withColumn("rest", F.col("class") != F.col("most.class")))
@@ -369,7 +369,7 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, *keep: Column) -> Da
     row = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
     contents = checkpoint(signed.filter("content <> 0").groupBy("content").agg(F.min(row).alias("row"), *(F.first(c).alias(c) for c in ("size", "bands", "sketch"))))
     links = verified_links(df, contents, candidate_links(contents), id_col, text_col, frequent)
-    named = components(links, "a", "b").select(F.col("id").alias("content"), "component")
+    named = components_of(links, "a", "b").select(F.col("id").alias("content"), "component")
     classes = contents.select("content", "row").join(named, "content", "left").withColumn("component", F.coalesce("component", "content"))
     least = classes.groupBy("component").agg(F.min("row").alias("least"))
     classes = checkpoint(join_spread(classes.select("content", "component"), least, "component", heavy_keys(classes, "component")))
