@@ -28,6 +28,7 @@ rows give equal results; extra columns are ignored; texts are read whole, howeve
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,17 +52,30 @@ def marked(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
 
 
+def scanned(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """combine() of each value and all before it, in about log n passes over the array; appending to an array copies it each time."""
+    n = F.size(values)
+    steps = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n.cast("double"))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(done: Column, k: Column) -> Column:
+        far = F.pow(F.lit(2.0), k).cast("int")
+        later = F.zip_with(F.slice(done, far + 1, F.size(done)), F.slice(done, 1, F.greatest(F.size(done) - far, F.lit(0))), combine)
+        return F.concat(F.slice(done, 1, far), later)
+
+    return F.aggregate(steps, values, step)
+
+
 def matches(parts: Column) -> Column:
     """Array of (start, end, match) in code points. parts: a column made by marked()."""
     spans = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    # The end mark of each part is no character of the text.
+    starts = scanned(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda part, i: F.length(part) - F.when(i > 0, 1).otherwise(0)), lambda x, y: x + y)
 
-    def step(state: Column, part: Column) -> Column:
+    def span(part: Column, start: Column) -> Column:
         match = F.substring_index(part, CLOSE, 1)
-        span = F.struct(state["at"].alias("start"), (state["at"] + F.length(match)).alias("end"), match.alias("match"))
-        return F.struct((state["at"] + F.length(part) - 1).alias("at"), F.array_append(state["spans"], span).alias("spans"))
+        return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"))
 
-    begin = F.struct(F.length(parts[0]).alias("at"), spans.alias("spans"))
-    return F.when(F.size(parts) > 1, F.aggregate(F.slice(parts, 2, F.size(parts)), begin, step)["spans"]).otherwise(spans)
+    return F.when(F.size(parts) > 1, F.zip_with(F.slice(parts, 2, F.size(parts)), starts, span)).otherwise(spans)
 
 
 def base_pattern(order: int) -> str:
@@ -183,6 +197,19 @@ def learn(df: DataFrame, id_col: str, text_col: str, sample_documents: int = 200
     return SecretModel(ratios, threshold, shares.get(False, 0.0), shares.get(True, 0.0))
 
 
+def apart(runs: Column, base: Column) -> Column:
+    """The runs that overlap no base span. Both are put in order of their starts: a run is apart if no span before it ends, and none after it starts, within it."""
+    def event(s: Column, run: int, match: Column) -> Column:
+        return F.struct(s["start"].alias("start"), F.lit(run).alias("run"), s["end"].alias("end"), match.alias("match"))
+
+    events = F.array_sort(F.concat(F.transform(base, lambda s: event(s, 0, F.lit(""))), F.transform(runs, lambda r: event(r, 1, r["match"]))))
+    before = scanned(F.transform(events, lambda e: F.when(e["run"] == 0, e["end"]).otherwise(-1)), lambda x, y: F.greatest(x, y))
+    after = F.reverse(scanned(F.reverse(F.transform(events, lambda e: F.when(e["run"] == 0, e["start"]).otherwise(1 << 30))), lambda x, y: F.least(x, y)))
+    judged = F.zip_with(events, F.zip_with(before, after, lambda x, y: F.struct(x.alias("end"), y.alias("start"))), lambda e, near: F.struct(e.alias("run"), near.alias("near")))
+    alone = F.filter(judged, lambda j: (j["run"]["run"] == 1) & (j["near"]["end"] <= j["run"]["start"]) & (j["near"]["start"] >= j["run"]["end"]))
+    return F.when((F.size(runs) > 0) & (F.size(base) > 0), F.transform(alone, lambda j: F.struct(j["run"]["start"].alias("start"), j["run"]["end"].alias("end"), j["run"]["match"].alias("match")))).otherwise(runs)
+
+
 def scan(df: DataFrame, model: SecretModel, id_col: str, text_col: str, *keep: Column) -> DataFrame:
     """The id, keep's columns, base (spans of the base kinds) and spans (all), both arrays of (start, order, end, kind) in order."""
     safe = F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, "��")
@@ -193,13 +220,10 @@ def scan(df: DataFrame, model: SecretModel, id_col: str, text_col: str, *keep: C
     base = F.array_sort(F.concat(*(kind_spans(F.col(f"__parts{i}"), i) for i in range(len(BASE)))))
     rows = rows.withColumns({"base": base, "__runs": matches(F.col(f"__parts{len(BASE)}"))})
 
-    def apart(run: Column) -> Column:
-        return ~F.exists(F.col("base"), lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-
     def secret(run: Column) -> Column:
         return total_ratio(run["match"], table) >= model.threshold
 
-    added = F.transform(F.filter("__runs", lambda r: apart(r) & secret(r)), lambda r: F.struct(r["start"], F.lit(len(BASE)).alias("order"), r["end"], F.lit("random").alias("kind")))
+    added = F.transform(F.filter(apart(F.col("__runs"), F.col("base")), secret), lambda r: F.struct(r["start"], F.lit(len(BASE)).alias("order"), r["end"], F.lit("random").alias("kind")))
     return rows.withColumn("spans", F.array_sort(F.concat("base", added))).drop("__safe", "__runs", *(f"__parts{i}" for i in range(len(patterns))))
 
 
@@ -209,13 +233,17 @@ def written(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span replaced by the mark; overlapping spans become one."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span (in order of their starts) replaced by the mark; overlapping spans become one. Pieces are cut from four bytes a code point, so that their places are found at once."""
+    reach = scanned(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    # What was reached before each span, and after the last.
+    ends = F.concat(F.array(F.lit(0)), reach)
+
+    def joined(wide: Column) -> Column:
+        def piece(low: Column, high: Column) -> Column:
+            return F.decode(F.substr(wide, 4 * low + 1, 4 * F.greatest(high - low, F.lit(0))), "UTF-32")
 
-    def step(s: Column, span: Column) -> Column:
-        low = F.greatest(span["start"], s["at"])
-        piece = F.when(span["start"] >= s["at"], F.concat(s["out"], F.substr(text, s["at"] + 1, low - s["at"]), F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), piece.alias("out"))
+        pieces = F.zip_with(F.slice(ends, 1, F.size(spans)), spans, lambda low, s: F.when(s["start"] >= low, F.concat(piece(low, s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), piece(F.element_at(ends, -1), F.length(text)))
 
-    end = F.aggregate(spans, state, step)
-    return F.when(F.size(spans) > 0, F.concat(end["out"], F.substr(text, end["at"] + 1, F.length(text)))).otherwise(text)
+    # A lambda's own variable is computed once, what it takes from outside for each element.
+    return F.when(F.size(spans) > 0, F.transform(F.array(F.encode(text, "UTF-32")), joined)[0]).otherwise(text)
