@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.expressions import contains_like
+from graphloom.operators.places import holding
 from graphloom.schema import CONTAINER_KINDS, EDGE_KINDS, LIST_LIMIT, NODE_KINDS, CodeGraph
 
 
@@ -69,9 +70,9 @@ def edges_named(graph: CodeGraph) -> DataFrame:
 
 
 def covering_symbols(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For points (file_id, line) each node whose span holds the line, ends included. Joined on the file, so the range test stays inside one file."""
-    spans = nodes.filter("end_line >= start_line").select("file_id", F.col("id").alias("node_id"), "name", "kind", "start_line", "end_line")
-    return points.join(spans, "file_id").filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    """For points (file_id, line and, if it has one, col) each node whose span holds the point, ends included."""
+    place = ["start_col", "end_col"] if "col" in points.columns else []
+    return holding(points, nodes.select("file_id", F.col("id").alias("node_id"), "name", "kind", "start_line", "end_line", *place))
 
 
 def span_contains(start_line: Column, start_col: Column, end_line: Column, end_col: Column, line: Column, col: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from graphloom.functions.expressions import BUILTINS
 from graphloom.operators import export, metrics
 from graphloom.schema import CONTAINER_KINDS, DEFINITION_KINDS, EDGE_KINDS, MODULE_KINDS, NODE_KINDS
+from graphloom.sources.generated import EXPECTED
 from graphloom.sources.star import CTES
 
 
@@ -79,9 +80,9 @@ GRAPH: dict[str, tuple[str, str]] = {
     "dependency_graph_rows": (IMPORTANCE, "SELECT id, kind, name, file_id, start_line, end_line, round(importance, 9) AS importance FROM imp"),
     "children_of": (CHILD, "SELECT id, name, id = 10001 AS is_parent FROM g_nodes WHERE id = 10001 OR id IN (SELECT k FROM kids)"),
     "children_edges": (CHILD, "SELECT * FROM g_edges WHERE source_node_id IN (SELECT k FROM kids) OR target_node_id IN (SELECT k FROM kids)"),
-    "span_covering_symbol": ("", "SELECT f.id AS file_id, CAST(line AS INT) AS line, n.id AS node_id, name FROM g_files f, (VALUES (31), (100), (250)) p(line), g_nodes n WHERE n.file_id = f.id AND line BETWEEN start_line AND end_line"),
-    "induced_subgraph": ("", "SELECT * FROM g_edges WHERE source_node_id IN (SELECT id FROM g_nodes WHERE file_id <= 8) AND target_node_id IN (SELECT id FROM g_nodes WHERE file_id <= 8)"),
-    "merge_visible": ("", "SELECT * FROM g_edges WHERE source_node_id < 1000500 OR kind = 'Calls'"),
+    "span_covering_symbol": ("", "SELECT p.file_id, p.line, n.id AS node_id, name FROM (SELECT DISTINCT file_id, start_line AS line FROM g_nodes WHERE kind = 'Function') p JOIN g_nodes n ON n.file_id = p.file_id AND line BETWEEN start_line AND end_line"),
+    "induced_subgraph": ("own AS (SELECT id FROM g_nodes WHERE file_id IN (SELECT id FROM g_files WHERE repo_root = 'EUROPE'))", "SELECT * FROM g_edges WHERE source_node_id IN (SELECT id FROM own) AND target_node_id IN (SELECT id FROM own)"),
+    "merge_visible": ("", "SELECT * FROM g_edges WHERE kind IN ('Contains', 'DependsOn', 'Calls')"),
     "one_hop_neighbours": ("", "SELECT target_node_id AS id FROM g_edges WHERE source_node_id = 5 UNION SELECT source_node_id FROM g_edges WHERE target_node_id = 5"),
     "lod_filter": (IMPORTANCE, "SELECT id FROM imp WHERE importance >= CAST(0.3 AS DOUBLE)"),
     "function_metrics": (DEGREES, "SELECT n.id, name, CAST(greatest(end_line - start_line, 0) + 1 AS BIGINT) AS line_count, CAST(greatest(1, coalesce(contains_out, 0) + 1) AS BIGINT) AS cyclomatic, CAST(greatest(1, coalesce(contains_out, 0) + (greatest(end_line - start_line, 0) + 1) // 10) AS BIGINT) AS cognitive, CAST(coalesce(json_array_length(properties, '$.parameters'), 0) AS BIGINT) AS parameter_count, CAST(coalesce(calls_out, 0) AS BIGINT) AS fan_out, CAST(coalesce(calls_in, 0) AS BIGINT) AS fan_in FROM g_nodes n LEFT JOIN deg ON deg.id = n.id WHERE kind IN ('Function', 'Method')"),
@@ -143,6 +144,10 @@ GRAPH: dict[str, tuple[str, str]] = {
 }
 
 TABLES: dict[str, str] = {
+    "extracted_symbols": f"WITH {EXPECTED} SELECT file_id, kind, name, start_line, start_col, end_line, end_col FROM symbols",
+    "extracted_edges": f"WITH {EXPECTED} SELECT id AS file_id, 'Contains' AS kind, 'Order' || id AS source_name, 'line' || n AS target_name, 1 + 2 * i AS target_line FROM lines UNION ALL SELECT file_id, 'Calls', caller, name, def_line FROM uses",
+    "span_covering_place": f"WITH {EXPECTED} SELECT u.file_id, u.line, u.col, s.kind, s.name FROM uses u JOIN symbols s ON s.file_id = u.file_id AND (u.line > s.start_line OR u.line = s.start_line AND u.col >= s.start_col) AND (u.line < s.end_line OR u.line = s.end_line AND u.col <= s.end_col)",
+    "scope_resolution": f"WITH {EXPECTED} SELECT file_id, name, line, col, def_line FROM uses",
     "snapshot_trend": f"WITH {DAYS} SELECT id AS snapshot_id, CAST(total_nodes AS DOUBLE) AS value FROM days",
     "snapshot_unpivot": f"WITH {DAYS} " + " UNION ALL ".join(f"SELECT id AS snapshot_id, '{m}' AS metric_name, CAST({m} AS DOUBLE) AS metric_value FROM days" for m in ("total_nodes", "total_edges", "total_files", "avg_complexity", "max_complexity", "circular_deps")),
     "latest_snapshot": f"WITH {DAYS} SELECT id, total_nodes FROM days ORDER BY id DESC LIMIT 1",

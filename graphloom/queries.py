@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.functions.expressions import format_ns, language_of, line_count, parse_import
-from graphloom.operators import cycles, diff, export, history, incremental, lookup, metrics, plugins, regress, resolve, rules, search, traverse
+from graphloom.operators import cycles, diff, export, history, incremental, lookup, metrics, places, plugins, regress, resolve, rules, search, traverse
+from graphloom.plans.extract import extract_with_uses
 from graphloom.schema import CodeGraph
+from graphloom.sources.generated import source_files
 from graphloom.sources.star import star_graph
 from graphloom.streaming import watch
 
@@ -141,18 +143,52 @@ def children_edges(g):
 
 @on_graph
 def span_covering_symbol(g):
-    points = g.files.select(F.col("id").alias("file_id"), F.explode(F.array(F.lit(31), F.lit(100), F.lit(250))).alias("line"))
+    points = g.nodes.filter("kind = 'Function'").select("file_id", F.col("start_line").alias("line")).distinct()
     return lookup.covering_symbols(points, g.nodes).select("file_id", "line", "node_id", "name")
 
 
+def extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (with ids), edges by local index and uses of the source files made of the orders."""
+    nodes, edges, uses = extract_with_uses(source_files(spark, sf_dir))
+    return nodes.withColumn("id", F.col("file_id") * (1 << 20) + F.col("local_idx")), edges, uses
+
+
+@on_tables
+def extracted_symbols(spark, sf_dir):
+    return extracted(spark, sf_dir)[0].select("file_id", "kind", "name", "start_line", "start_col", "end_line", "end_col")
+
+
+@on_tables
+def extracted_edges(spark, sf_dir):
+    nodes, edges, _ = extracted(spark, sf_dir)
+    source = nodes.select("file_id", F.col("local_idx").alias("source_idx"), F.col("name").alias("source_name"))
+    target = nodes.select("file_id", F.col("local_idx").alias("target_idx"), F.col("name").alias("target_name"), F.col("start_line").alias("target_line"))
+    return edges.join(source, ["file_id", "source_idx"]).join(target, ["file_id", "target_idx"]).select("file_id", "kind", "source_name", "target_name", "target_line")
+
+
+@on_tables
+def span_covering_place(spark, sf_dir):
+    nodes, _, uses = extracted(spark, sf_dir)
+    return lookup.covering_symbols(uses.select("file_id", "line", "col"), nodes).select("file_id", "line", "col", "kind", "name")
+
+
+@on_tables
+def scope_resolution(spark, sf_dir):
+    nodes, _, uses = extracted(spark, sf_dir)
+    numbered = uses.withColumn("use_id", F.struct("file_id", "line", "col", "name"))
+    found = places.resolve_names(numbered, nodes).join(nodes.select(F.col("id").alias("node_id"), F.col("start_line").alias("def_line")), "node_id", "left")
+    return found.select("file_id", "name", "line", "col", "def_line")
+
+
 @on_graph
 def induced_subgraph(g):
-    return lookup.induced(g, g.nodes.filter("file_id <= 8"))
+    europe = g.files.filter("repo_root = 'EUROPE'").select(F.col("id").alias("file_id"))
+    return lookup.induced(g, g.nodes.join(europe, "file_id", "left_semi"))
 
 
 @on_graph
 def merge_visible(g):
-    shown, new = g.edges.filter("source_node_id < 1000500"), g.edges.filter("kind = 'Calls'")
+    shown, new = g.edges.filter("kind IN ('Contains', 'DependsOn')"), g.edges.filter("kind IN ('Contains', 'Calls')")
     return lookup.merge_visible(shown, new, ["source_node_id", "target_node_id", "kind"])
 
 
