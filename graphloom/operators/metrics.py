@@ -102,11 +102,16 @@ def importance(graph: CodeGraph) -> DataFrame:
     """Per node a score in [0, 1] of degree, callers, length, callees and kind. The maxima are one row, sent to all."""
     rows = _with_degrees(graph.nodes, graph.edges.select("source_node_id", "target_node_id", "kind")).withColumn("lines", lines_between(F.col("start_line"), F.col("end_line")))
     top = rows.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.greatest(F.max("fan_in"), F.lit(1)).alias("max_in"), F.greatest(F.max("lines"), F.lit(1)).alias("max_lines"))
+    return scored(rows.join(F.broadcast(top)))
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """id, name, kind and importance of rows with fan_in, fan_out, lines and, of all rows, n, max_in and max_lines."""
     weight = F.coalesce(F.create_map(*[F.lit(x) for pair in KIND_WEIGHTS.items() for x in pair])[F.col("kind")], F.lit(0.5))
     degree = F.col("fan_in") + F.col("fan_out")
     part = lambda value, most: value.cast("double") / F.col(most).cast("double")
     score = part(degree, "n") * 0.3 + part(F.col("fan_in"), "max_in") * 0.2 + part(F.col("lines"), "max_lines") * 0.15 + part(F.col("fan_out"), "max_in") * 0.15 + weight * 0.1 + F.when(degree > 0, 0.1).otherwise(0.0)
-    return rows.join(F.broadcast(top)).select("id", "name", "kind", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("importance"))
+    return rows.select("id", "name", "kind", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("importance"))
 
 
 def complexity_band(cyclomatic: Column) -> Column:

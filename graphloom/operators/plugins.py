@@ -5,11 +5,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from importlib.metadata import entry_points
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.expressions import search_tokens
+from graphloom.operators.traverse import checkpoint
 from graphloom.schema import CodeGraph
 
 FINDINGS = "severity string, message string, file string, line int, symbol string, rule string"
@@ -62,6 +64,8 @@ def summary_findings(graph: CodeGraph, many: int = 50_000, ratio: float = 0.8) -
 
 
 Plugin = Callable[[CodeGraph], DataFrame]
+#: Packages name their plugins under this group: each a function of a graph that returns findings.
+ENTRY_POINTS = "graphloom.plugins"
 
 
 @dataclass
@@ -76,11 +80,23 @@ class Registry:
     def names(self) -> list[str]:
         return list(self.plugins)
 
+    def discover(self, group: str = ENTRY_POINTS) -> list[str]:
+        """Registers the plugins that installed packages name under this group of entry points, by name; one that cannot be loaded is logged and left out. Names of what was registered."""
+        found = []
+        for point in sorted(entry_points(group=group), key=lambda p: p.name):
+            try:
+                self.register(point.name, point.load())
+                found.append(point.name)
+            except Exception:  # whatever a package raises when it is imported
+                logging.getLogger(__name__).exception("plugin %s cannot be loaded", point.name)
+        return found
+
     def run_all(self, graph: CodeGraph) -> DataFrame:
+        """Findings of all plugins. Each is run by itself into the checkpoint folder, so one whose plan or rows fail takes nothing with it."""
         out = graph.nodes.sparkSession.createDataFrame([], f"plugin string, {FINDINGS}")
         for name, plugin in self.plugins.items():
             try:
-                found = plugin(graph).select(F.lit(name).alias("plugin"), "severity", "message", "file", "line", "symbol", "rule")
+                found = checkpoint(plugin(graph).select(F.lit(name).alias("plugin"), "severity", "message", "file", "line", "symbol", "rule"))
                 out = out.unionByName(found)
             except Exception:  # a plugin's own error, of any kind
                 logging.getLogger(__name__).exception("plugin %s failed", name)

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.functions.expressions import language_of
+from graphloom.operators.store import GraphStore
+from graphloom.operators.traverse import checkpoint
 from graphloom.plans.index import refresh
 from graphloom.sources.files import EXCLUDED, discover, wanted
 
+#: So many changed paths of a batch are read by name.
+MOST_PATHS = 10_000
 EVENTS = "ts timestamp, repo_root string, relative_path string, event string"
 
 
@@ -39,15 +43,21 @@ def debounced(events: DataFrame, gap: str = "500 milliseconds", late: str = "2 s
     return burst.select("repo_root", F.col("w.start").alias("first_ts"), F.col("w.end").alias("last_ts"), "paths", "n_events")
 
 
-def reindexer(spark: SparkSession, root: str, store: str, log: str | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a batch with bursts brings the graph in store up to date. Repeating a batch changes nothing, since files are compared by hash."""
+def reindexer(spark: SparkSession, root: str, store: str, log: str | None = None, most_paths: int = MOST_PATHS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a batch with bursts brings the graph in store up to date. Only the batch's paths are read, and compared with the store's files by hash; past most_paths the folder is walked instead, with the same result.
+
+    Repeating a batch changes nothing. An event is written for a batch that changed the graph.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        paths = checkpoint(batch.select(F.explode("paths").alias("relative_path")).distinct())
+        named = [r["relative_path"] for r in paths.limit(most_paths + 1).collect()]
+        if not named:
             return
-        done = refresh(spark, discover(spark, root), store)
-        if log:
-            event = done.select(F.lit("index_updated").alias("event"), F.lit(batch_id).alias("batch"), "files_changed", "nodes_removed", F.concat(F.lit("graph is at "), "version").alias("message"))
+        some = len(named) <= most_paths and GraphStore(spark, store).generation() > 0
+        done = refresh(spark, discover(spark, root, paths=named if some else None), store, examined=paths if some else None).filter("version > 0")
+        if log and not done.isEmpty():
+            event = done.select(F.lit("index_updated").alias("event"), F.lit(batch_id).alias("batch"), "files_changed", "nodes_removed", F.concat(F.lit("graph is at version "), "version").alias("message"))
             event.write.mode("append").json(log)
 
     return run
