@@ -66,8 +66,8 @@ def extended(df: DataFrame, ddl: str) -> T.StructType:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the fifth of the rows that no model learns from."""
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """True for the fifth of the rows that no model learns from; false for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def hash_share(doc_id: Column, seed: int) -> Column:

@@ -15,7 +15,7 @@ the languages need.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; so
 is every text if nothing could be learned. Ties go to the first language by name. Texts are
-read whole; extra columns are ignored; empty tables give empty results.
+read whole; n-grams that a language's sample has once are left out; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -205,8 +205,8 @@ def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     part = part[order]
-    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
-    return distinct[order], counts[order], place[inverse], [(int(part[a]), int(a), int(b)) for a, b in zip(edge, [*edge[1:], len(part)], strict=True)]
+    edge = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1 if len(part) else []
+    return distinct[order], counts[order], place[inverse], [(int(part[a]), int(a), int(b)) for a, b in zip([0, *edge][: len(edge)], edge, strict=True)]
 
 
 SENT = "seg long, part int, sent binary, marks binary"
@@ -388,8 +388,8 @@ def wanted_windows(all_rows: DataFrame, live: DataFrame) -> DataFrame:
                 closed = (marks & TWICE) > 0
                 kinds = (closed, ~closed, (marks & (TWICE | FIRST | OPEN)) == TWICE | FIRST | OPEN)
                 out = []
-                first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else []
-                for a, b in zip(first, [*first[1:], len(rows)], strict=True):
+                last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) + 1 if len(rows) else []
+                for a, b in zip([0, *last][: len(last)], last, strict=True):
                     own = slice(a, b)
                     out.append((ids[rows[a]], digests[rows[a]], *(pairs(lows[own][k[own]], highs[own][k[own]]) for k in kinds)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, PAIR_KINDS, strict=True)], names=["id", "digest", "closed", "open", "partners"])

@@ -4,15 +4,15 @@ Each distinct text has one owner: rows are partitioned by length and content
 hash, and the owner of a partition inserts whole byte strings into a compressed
 radix trie whose terminal nodes hold the smallest id, the number of copies and
 the salts of the copies. Two texts meet at a terminal only if all their bytes
-are equal; the hash decides no equality.
+are equal; rows find their owner's answer by SHA-256 and length of the text.
 
 Scale. Copies are combined batch by batch before the shuffle, so a text that makes
 up a third of all rows reaches its owner once a batch, not once a copy. The
 owner's answer is one row for each salt it saw (at most SALTS) of each text;
 rows take it by (hash, length, salt), so the copies of a hot text spread over
 SALTS keys. A trie that outgrows its memory spills its largest subtrees: their
-strings leave as rows, and go to owners of the next round, dealt by hash, round
-and subtree, until none is left. Rounds are cut by checkpoint(); nothing is kept on an
+strings leave as rows, and go to owners of the next round, dealt by hash and
+round, until none is left. Rounds are cut by checkpoint(); nothing is kept on an
 executor's disk.
 
 Defined cases: a null text counts as empty, and all empty texts are one group;
