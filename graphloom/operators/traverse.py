@@ -1,8 +1,9 @@
 """Breadth-first operators over the edges: impact, subtree, shortest path.
 
 One level is one join of the frontier with the edges, one grouped minimum and
-one anti join, whatever the size of the frontier; levels are cut by checkpoint(),
-so the plan does not grow. Only a count a level reaches the driver. First-in-first-out order, which
+one anti join, whatever the size of the frontier; levels are cut by checkpoint(), and
+what was visited is merged two parts of a size at a time, so after n levels it has about
+log n parts and each row was written as often. Only a count a level reaches the driver. First-in-first-out order, which
 decides the path by which a node is first reached, is that of the edge ids along the
 path: a node's trail. The least trail wins, so no level is ever numbered.
 """
@@ -48,34 +49,57 @@ class Walk:
         return self.expanded > self.reached
 
 
-def walk(edges: DataFrame, root: int, max_depth: int | None, reverse: bool = False, until: int | None = None) -> Walk:
-    """Everything within max_depth steps of root (None: no bound); a node at max_depth is not expanded. Stops early once the node until is reached."""
+class Parts:
+    """Rows that come level by level, as about log n parts: two of a size are made one, and written once they are of a few levels."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[int, DataFrame]] = []
+
+    def add(self, rows: DataFrame) -> None:
+        size = 1
+        while self.held and self.held[-1][0] == size:
+            rows = self.held.pop()[1].unionByName(rows)
+            size *= 2
+            rows = checkpoint(rows) if size >= 4 else rows
+        self.held.append((size, rows))
+
+    def union(self) -> DataFrame:
+        out = self.held[0][1]
+        for _, rows in self.held[1:]:
+            out = out.unionByName(rows)
+        return out
+
+
+def walk(edges: DataFrame, root: int, max_depth: int | None, reverse: bool = False, until: int | None = None, stored: bool = False) -> Walk:
+    """Everything within max_depth steps of root (None: no bound); a node at max_depth is not expanded. Stops early once the node until is reached. stored: edges are a stored table, which needs no copy."""
     spark: SparkSession = edges.sparkSession
     source, target = ("target_node_id", "source_node_id") if reverse else ("source_node_id", "target_node_id")
-    steps = checkpoint(edges.select(F.col(source).alias("node"), F.col(target).alias("next"), "kind", F.col("id").alias("edge")))
+    steps = edges.select(F.col(source).alias("node"), F.col(target).alias("next"), "kind", F.col("id").alias("edge"))
+    steps = steps if stored else checkpoint(steps)
     none = F.array()
     frontier = spark.range(1).select(F.lit(root).cast("long").alias("node"), F.lit(0).alias("depth"), none.cast("array<string>").alias("edge_path"), none.cast("array<long>").alias("trail"))
-    visited, depth, expanded, reached = frontier, 0, 0, 0
+    visited, depth, expanded, reached = Parts(), 0, 0, 0
+    visited.add(frontier)
     while max_depth is None or depth < max_depth:
         # The trail ends in the edge, and an edge has one target in this direction, so the least trail is one row.
         seen = steps.join(frontier, "node").select("next", F.struct(F.array_append("trail", F.col("edge")).alias("trail"), F.array_append("edge_path", F.col("kind")).alias("edge_path")).alias("way"))
         found = seen.groupBy(F.col("next").alias("node")).agg(F.min("way").alias("way"), F.count("*").alias("n"))
-        level = checkpoint(found.join(visited.select("node", F.lit(True).alias("old")), "node", "left"))
+        level = checkpoint(found.join(visited.union().select("node", F.lit(True).alias("old")), "node", "left"))
         sums = level.agg(F.sum("n"), F.count_if(F.col("old").isNull()), F.count_if(F.col("old").isNull() & (F.col("node") == (until if until is not None else -1)))).first()
         expanded += sums[0] or 0
         if not sums[1]:
             break
         depth, reached = depth + 1, reached + sums[1]
         frontier = level.filter("old IS NULL").select("node", F.lit(depth).alias("depth"), "way.edge_path", "way.trail")
-        visited = visited.unionByName(frontier)
+        visited.add(frontier)
         if until is not None and sums[2]:
             break
-    return Walk(visited, expanded, reached)
+    return Walk(visited.union(), expanded, reached)
 
 
 def impact(graph: CodeGraph, root: int, max_depth: int = 10, reverse: bool = False) -> DataFrame:
     """Known nodes that the root reaches (or that reach it): node_id, name, kind, file_id, depth, edge_path."""
-    return _reported(graph, walk(graph.edges, root, max_depth, reverse), root)
+    return _reported(graph, walk(graph.edges, root, max_depth, reverse, stored=graph.stored), root)
 
 
 def _reported(graph: CodeGraph, found: Walk, root: int) -> DataFrame:
@@ -85,7 +109,7 @@ def _reported(graph: CodeGraph, found: Walk, root: int) -> DataFrame:
 
 def impact_summary(graph: CodeGraph, root: int, max_depth: int = 10, reverse: bool = False) -> DataFrame:
     """One row: root, root_name ("" if unknown), total_affected, max_depth, cycle_detected."""
-    found = walk(graph.edges, root, max_depth, reverse)
+    found = walk(graph.edges, root, max_depth, reverse, stored=graph.stored)
     one = _reported(graph, found, root).agg(F.count("*").alias("total_affected"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
     name = graph.nodes.filter(F.col("id") == root).agg(F.coalesce(F.first("name"), F.lit("")).alias("root_name"))
     return one.join(F.broadcast(name)).select(F.lit(root).cast("long").alias("root"), "root_name", "total_affected", "max_depth", F.lit(found.cycle_detected).alias("cycle_detected"))
@@ -118,7 +142,7 @@ def shortest_path(graph: CodeGraph, source: int, target: int) -> DataFrame | Non
     schema = "node_id long, depth int, edge_path array<string>"
     if source == target:
         return spark.createDataFrame([], schema)
-    visited = walk(graph.edges, source, None, until=target).visited
+    visited = walk(graph.edges, source, None, until=target, stored=graph.stored).visited
     goal = visited.filter(F.col("node") == target).select(F.col("trail").alias("goal"))
     if goal.isEmpty():
         return None

@@ -28,9 +28,10 @@ SEARCH_LIMIT = 50
 
 @dataclass
 class CodeGraph:
-    """The tables of one graph version. Any DataFrame with these columns will do."""
+    """The tables of one graph version. Any DataFrame with these columns will do. stored: they are stored tables, so a loop over them needs no copy."""
 
     files: DataFrame
     nodes: DataFrame
     edges: DataFrame
     broken_refs: DataFrame | None = None
+    stored: bool = False
