@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -45,8 +45,51 @@ def group_report(results: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(groups), at, "right").select("group_name", "n", "min_ns", "max_ns", F.col("mean_ns").alias("median_ns"))
 
 
+#: Lines of code that the names of parse benchmarks stand for; 200 for others.
+PARSED_LINES = {"typescript_small": 100, "typescript_medium": 500, "typescript_large": 5000, "python_small": 80, "python_medium": 400, "go_medium": 300, "rust_medium": 350}
+
+
+def _place(n: int) -> Column:
+    return F.try_element_at(F.split("name", "/"), F.lit(n))
+
+
+def per_second(mean_ns: Column, count: Column | float = 1.0) -> Column:
+    return F.when(mean_ns > 0, (count if isinstance(count, Column) else F.lit(count)) / mean_ns * 1e9).otherwise(0.0)
+
+
 def report_lines(results: DataFrame) -> DataFrame:
-    return results.select("name", format_ns(F.col("mean_ns")).alias("mean"), (F.lit(1e9) / F.col("mean_ns")).alias("ops_per_s"))
+    """Each result by group and rest of its name, with its mean, deviation and throughput as text. results: name, mean_ns, std_dev_ns, iterations."""
+    rate = per_second(F.col("mean_ns"))
+    tenth = lambda v: F.floor(v * 10 + 0.5) / 10
+    shown = F.when(rate >= 1e6, F.format_string("%.1fM ops/s", tenth(rate / 1e6))).when(rate >= 1e3, F.format_string("%.1fK ops/s", tenth(rate / 1e3))).otherwise(F.format_string("%.1f ops/s", tenth(rate)))
+    rest = F.when(F.col("name").contains("/"), F.regexp_replace("name", "^[^/]*/", "")).otherwise(F.col("name"))
+    return results.select(_place(1).alias("group_name"), rest.alias("benchmark"), "mean_ns", format_ns(F.col("mean_ns")).alias("mean"), F.concat(F.lit("±"), format_ns(F.col("std_dev_ns"))).alias("deviation"), "iterations", shown.alias("throughput"))
+
+
+def parse_rates(results: DataFrame) -> DataFrame:
+    """Estimated lines of code a second of the parse benchmarks."""
+    language = F.coalesce(_place(2), F.lit("unknown"))
+    lines = F.coalesce(F.create_map(*(F.lit(x) for pair in PARSED_LINES.items() for x in pair))[language], F.lit(200))
+    return results.filter(F.col("name").contains("parse_throughput")).select("name", language.alias("language"), lines.alias("lines"), format_ns(F.col("mean_ns")).alias("time"), F.floor(per_second(F.col("mean_ns"), lines.cast("double")) + 0.5).alias("lines_per_second"))
+
+
+def report(results: DataFrame) -> DataFrame:
+    """The report's lines as section, group_name, place and text: a summary by group, the results of each group from the fastest on, and the parse rates."""
+    def row(section: int, group: Column, place: Column, *cells: Column) -> list[Column]:
+        return [F.lit(section).alias("section"), group.alias("group_name"), place.alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("text")]
+
+    groups, lines, rates = group_report(results), report_lines(results), parse_rates(results)
+    group = F.col("group_name")
+    code = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    summary = groups.select(*row(1, group, F.lit(0.0), code(group), F.col("n").cast("string"), *(format_ns(F.col(c)) for c in ("min_ns", "max_ns", "median_ns"))))
+    details = lines.select(*row(2, group, F.col("mean_ns"), code(F.col("benchmark")), F.col("mean"), F.col("deviation"), F.col("iterations").cast("string"), F.col("throughput")))
+    speeds = rates.select(*row(3, F.lit(""), F.lit(0.0), F.col("language"), F.format_string("~%d LOC", "lines"), F.col("time"), F.format_string("%d LOC/s", "lines_per_second")))
+    return summary.unionByName(details).unionByName(speeds)
+
+
+def write_report(results: DataFrame, path: str) -> None:
+    """The report as text files whose lines, file after file, are in order."""
+    report(results).orderBy("section", "group_name", "place", "text").select("text").write.mode("overwrite").text(path)
 
 
 def save_baseline(results: DataFrame, path: str) -> None:

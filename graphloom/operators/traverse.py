@@ -19,14 +19,19 @@ from pyspark.sql import functions as F
 from graphloom.schema import CodeGraph
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Into the folder that the cluster names in spark.checkpoint.dir; where none is named, a local session (tests) gets a temporary one, and a cluster an error."""
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where none is named, a local session (tests) gets a temporary one, and a cluster an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.partition("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

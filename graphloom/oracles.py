@@ -60,6 +60,8 @@ STORED = "stored AS (SELECT relative_path, sha256(language) AS hash FROM g_files
 LEFT = "gone AS (SELECT id FROM g_nodes WHERE file_id IN (2, 5))"
 HISTOGRAM = "SELECT {c}, count(*) AS n FROM {t} GROUP BY {c}"
 
+SHOWN = "CASE WHEN {v} >= 1e9 THEN format('{{:.2f}}s', {v} / 1e9) WHEN {v} >= 1e6 THEN format('{{:.2f}}ms', {v} / 1e6) WHEN {v} >= 1e3 THEN format('{{:.2f}}µs', {v} / 1e3) ELSE format('{{:.2f}}ns', {v}) END"
+
 GRAPH: dict[str, tuple[str, str]] = {
     "graph_counts": ("", "SELECT 'files' AS what, count(*) AS n FROM g_files UNION ALL SELECT 'nodes', count(*) FROM g_nodes UNION ALL SELECT 'edges', count(*) FROM g_edges"),
     "kind_histogram": ("", HISTOGRAM.format(c="kind", t="g_nodes")),
@@ -140,6 +142,8 @@ GRAPH: dict[str, tuple[str, str]] = {
     "regression_classify": (BENCH, "SELECT * FROM reg WHERE severity IS NOT NULL"),
     "regression_counts": (BENCH, "SELECT count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'Significant') AS significant, count(*) FILTER (severity = 'Warning') AS warning, count(*) FILTER (severity = 'Improvement') AS improvement FROM reg"),
     "bench_group_report": (BENCH, "SELECT string_split(name, '/')[1] AS group_name, count(*) AS n, min(base) AS min_ns, max(base) AS max_ns, list_sort(list(base))[count(*) // 2 + 1] AS median_ns FROM cur GROUP BY 1"),
+    "bench_report_lines": (BENCH, f"SELECT split_part(name, '/', 1) AS group_name, split_part(name, '/', 2) AS benchmark, {SHOWN.format(v='base')} AS mean, '±' || {SHOWN.format(v='base / 10')} AS deviation, CAST(split_part(name, '/', 2) AS BIGINT) % 7 + 1 AS iterations, CASE WHEN 1e9 / base >= 1e6 THEN format('{{:.1f}}M ops/s', floor(1e9 / base / 1e6 * 10 + 0.5) / 10) WHEN 1e9 / base >= 1e3 THEN format('{{:.1f}}K ops/s', floor(1e9 / base / 1e3 * 10 + 0.5) / 10) ELSE format('{{:.1f}} ops/s', floor(1e9 / base * 10 + 0.5) / 10) END AS throughput FROM cur"),
+    "bench_parse_rates": (BENCH, f"SELECT 'parse_throughput/' || language || '/' || id AS name, language, lines, {SHOWN.format(v='base')} AS time, CAST(floor(lines / base * 1e9 + 0.5) AS BIGINT) AS lines_per_second FROM (SELECT base, CAST(split_part(name, '/', 2) AS BIGINT) AS id FROM cur) JOIN (VALUES (0, 'typescript_small', 100), (1, 'typescript_medium', 500), (2, 'typescript_large', 5000), (3, 'python_small', 80), (4, 'python_medium', 400), (5, 'go_medium', 300), (6, 'rust_medium', 350), (7, 'java_large', 200)) v(k, language, lines) ON id % 8 = k"),
     "formatted_durations": ("", "SELECT id, CASE WHEN v >= 1e9 THEN format('{:.2f}s', v / 1e9) WHEN v >= 1e6 THEN format('{:.2f}ms', v / 1e6) WHEN v >= 1e3 THEN format('{:.2f}µs', v / 1e3) ELSE format('{:.2f}ns', v) END AS shown FROM (SELECT id, CAST(pow(10, id % 11) * 2 AS DOUBLE) AS v FROM g_nodes WHERE kind = 'Method')"),
 }
 
@@ -147,6 +151,9 @@ TABLES: dict[str, str] = {
     "extracted_symbols": f"WITH {EXPECTED} SELECT file_id, kind, name, start_line, start_col, end_line, end_col FROM symbols",
     "extracted_edges": f"WITH {EXPECTED} SELECT id AS file_id, 'Contains' AS kind, 'Order' || id AS source_name, 'line' || n AS target_name, 1 + 2 * i AS target_line FROM lines UNION ALL SELECT file_id, 'Calls', caller, name, def_line FROM uses",
     "span_covering_place": f"WITH {EXPECTED} SELECT u.file_id, u.line, u.col, s.kind, s.name FROM uses u JOIN symbols s ON s.file_id = u.file_id AND (u.line > s.start_line OR u.line = s.start_line AND u.col >= s.start_col) AND (u.line < s.end_line OR u.line = s.end_line AND u.col <= s.end_col)",
+    "store_refresh": f"""WITH {EXPECTED}, s AS (SELECT 'o' || file_id || CASE WHEN file_id % 2 = 1 THEN '.py' ELSE '.ts' END AS path, kind, name, start_line, end_line FROM symbols)
+SELECT 'symbol' AS what, * FROM s UNION ALL SELECT 'search', * FROM s WHERE name = 'use1' UNION ALL SELECT 'snapshot', '', '', 'total_nodes', count(*), count(*) FROM s
+UNION ALL SELECT 'snapshot', '', '', 'total_edges', 2 * count(*), 2 * count(*) FROM lines UNION ALL SELECT 'snapshot', '', '', x, 1, 1 FROM (VALUES ('avg_complexity'), ('max_complexity')) v(x)""",
     "scope_resolution": f"WITH {EXPECTED} SELECT file_id, name, line, col, def_line FROM uses",
     "snapshot_trend": f"WITH {DAYS} SELECT id AS snapshot_id, CAST(total_nodes AS DOUBLE) AS value FROM days",
     "snapshot_unpivot": f"WITH {DAYS} " + " UNION ALL ".join(f"SELECT id AS snapshot_id, '{m}' AS metric_name, CAST({m} AS DOUBLE) AS metric_value FROM days" for m in ("total_nodes", "total_edges", "total_files", "avg_complexity", "max_complexity", "circular_deps")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,11 @@ from pyspark.sql import Window as W
 
 from graphloom.functions.expressions import format_ns, language_of, line_count, parse_import
 from graphloom.operators import cycles, diff, export, history, incremental, lookup, metrics, places, plugins, regress, resolve, rules, search, traverse
+from graphloom.operators.store import GraphStore
 from graphloom.plans.extract import extract_with_uses
+from graphloom.plans.index import refresh
 from graphloom.schema import CodeGraph
-from graphloom.sources.generated import source_files
+from graphloom.sources.generated import as_found, source_files
 from graphloom.sources.star import star_graph
 from graphloom.streaming import watch
 
@@ -180,6 +183,26 @@ def scope_resolution(spark, sf_dir):
     return found.select("file_id", "name", "line", "col", "def_line")
 
 
+@on_tables
+def store_refresh(spark, sf_dir):
+    """A store of sources made of the orders, of which some were other, some missing and some more at first, after one refresh: all symbols, what a search finds, and the snapshot's totals."""
+    files = source_files(spark, sf_dir)
+    found = as_found(files)
+    other = as_found(files.filter("id % 10 = 3").withColumn("content", F.concat(F.lit("class Old"), F.col("id"), F.when(F.col("id") % 2 == 0, " { use1() {} }").otherwise(":\n    pass"))))
+    more = as_found(files.filter("id % 10 = 5").withColumn("id", -F.col("id")))
+    folder = f"{traverse.checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    refresh(spark, as_found(files.filter("id % 10 not in (3, 7)")).unionByName(other).unionByName(more), folder)
+    refresh(spark, found, folder)
+    store = GraphStore(spark, folder)
+    graph = store.read()
+    symbols = graph.nodes.join(graph.files.select(F.col("id").alias("file_id"), F.col("relative_path").alias("path")), "file_id").select("id", "path", "kind", "name", "start_line", "end_line")
+    hits = symbols.join(store.search("use1"), "id", "left_semi")
+    one = store.snapshot()
+    totals = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("int").alias("n")) for c in ("total_nodes", "total_edges", "avg_complexity", "max_complexity")))).alias("t"))
+    totals = totals.select(F.lit("snapshot").alias("what"), F.lit("").alias("path"), F.lit("").alias("kind"), "t.name", F.col("t.n").alias("start_line"), F.col("t.n").alias("end_line"))
+    return symbols.drop("id").withColumn("what", F.lit("symbol")).unionByName(hits.drop("id").withColumn("what", F.lit("search"))).unionByName(totals)
+
+
 @on_graph
 def induced_subgraph(g):
     europe = g.files.filter("repo_root = 'EUROPE'").select(F.col("id").alias("file_id"))
@@ -544,6 +567,22 @@ def bench_group_report(g):
     return regress.group_report(bench_results(g, False))
 
 
+def timed_results(g: CodeGraph) -> DataFrame:
+    return bench_results(g, False).withColumns({"std_dev_ns": F.col("mean_ns") / 10, "iterations": F.col("id") % 7 + 1})
+
+
+@on_graph
+def bench_report_lines(g):
+    return regress.report_lines(timed_results(g)).drop("mean_ns")
+
+
+@on_graph
+def bench_parse_rates(g):
+    languages = F.array(*map(F.lit, (*regress.PARSED_LINES, "java_large")))
+    parsed = F.concat(F.lit("parse_throughput/"), F.get(languages, (F.col("id") % 8).cast("int")), F.lit("/"), F.col("id"))
+    return regress.parse_rates(timed_results(g).withColumn("name", parsed))
+
+
 @on_graph
 def formatted_durations(g):
     return g.nodes.filter("kind = 'Method'").select("id", format_ns(F.pow(F.lit(10.0), F.col("id") % 11) * 2).alias("shown"))

@@ -203,3 +203,25 @@ def test_exports(spark, api3, tmp_path):
         export.export(api3, "x.png")
     odd = spark.createDataFrame([('a,"b"', 1)], "x string, y int")
     assert export.csv_lines(odd, ["x", "y"]).first().line == '"a,""b""",1'
+
+
+def test_benchmark_report(spark, tmp_path):
+    rows = [("g/fast", 250.0, 10.0, 7), ("g/slow", 2_500_000.0, 0.0, 1), ("parse_throughput/go_medium/1", 3_000.0, 1.0, 2), ("plain", 0.0, 0.0, 0)]
+    results = spark.createDataFrame(rows, "name string, mean_ns double, std_dev_ns double, iterations long")
+    lines = {r.benchmark: (r.group_name, r.mean, r.deviation, r.throughput) for r in regress.report_lines(results).collect()}
+    assert lines["fast"] == ("g", "250.00ns", "±10.00ns", "4.0M ops/s") and lines["slow"] == ("g", "2.50ms", "±0.00ns", "400.0 ops/s") and lines["plain"][3] == "0.0 ops/s"
+    assert [(r.language, r.lines, r.lines_per_second) for r in regress.parse_rates(results).collect()] == [("go_medium", 300, 100_000_000)]
+    regress.write_report(results, str(tmp_path / "report"))
+    text = [line for part in sorted((tmp_path / "report").glob("part-*")) for line in part.read_text().splitlines()]
+    assert text == [
+        "| `g` | 2 | 250.00ns | 2.50ms | 2.50ms |", "| `parse_throughput` | 1 | 3.00µs | 3.00µs | 3.00µs |", "| `plain` | 1 | 0.00ns | 0.00ns | 0.00ns |", "| `fast` | 250.00ns | ±10.00ns | 7 | 4.0M ops/s |",
+        "| `slow` | 2.50ms | ±0.00ns | 1 | 400.0 ops/s |", "| `go_medium/1` | 3.00µs | ±1.00ns | 2 | 333.3K ops/s |", "| `plain` | 0.00ns | ±0.00ns | 0 | 0.0 ops/s |", "| go_medium | ~300 LOC | 3.00µs | 100000000 LOC/s |",
+    ]
+
+
+def test_imports_edges_without_an_import_node(spark):
+    """An Imports edge counts where no import node of its file names the same module."""
+    nodes = spark.createDataFrame([(1, "Import", "import os", 1, 1), (2, "Function", "f", 1, 5), (3, "Module", "os", 2, 1), (4, "Module", "other", 2, 9)], "id long, kind string, name string, file_id long, start_line int")
+    edges = spark.createDataFrame([(1, 2, 3, "Imports"), (2, 2, 4, "Imports"), (3, 4, 3, "Imports")], "id long, source_node_id long, target_node_id long, kind string")
+    found = resolve.imports(CodeGraph(nodes, nodes, edges)).collect()
+    assert sorted((r.file_id, r.node_id, r.kind, r.module, tuple(r.names)) for r in found) == [(1, 1, "Named", "os", ("os",)), (1, 2, "Named", "other", ()), (2, 4, "Named", "os", ())]
