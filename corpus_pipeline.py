@@ -16,25 +16,40 @@ from graphloom.llm import minhash, packing, queries, secret_scan, toxicity, trie
 from graphloom.llm.common import ensure_checkpoint_dir, read_table
 
 
+#: Rows in a batch that goes to Python: a stage carries whole rows beside the texts it reads, so its batches hold each text twice.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(key))
+    if held <= 0 or held > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def whole_row(docs: DataFrame) -> Column:
     """All columns in one struct, so none can clash with a column of an operator."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = queries.toxicity_model(spark, docs, sf_dir)
     return toxicity.score(docs, model, "doc_id", "text", whole_row(docs)).filter("predicted = 0").select("whole_row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return trie_dedup.exact_groups(docs, "doc_id", "text", whole_row(docs)).filter("kept").select("whole_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash.near_classes(docs, "doc_id", "text", whole_row(docs)).filter("kept").select("whole_row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = secret_scan.learn(docs, "doc_id", "text")
     found = secret_scan.scan(docs, model, "doc_id", "text", whole_row(docs))
     text = secret_scan.redact(F.col("whole_row.text"), F.col("spans"))
@@ -43,6 +58,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, queries.BYTE_TOKENIZER, "doc_id", "text")
 
 
