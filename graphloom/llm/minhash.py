@@ -91,10 +91,14 @@ def frequent_shingles(df: DataFrame, text_col: str, min_share: float = MIN_SHARE
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             found = [shingles(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])[0] for low, high in row_ranges(offsets, CHUNK)]
-            every = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            del found
+            every.sort()
             first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-            hashes, counts = every[first], np.diff(np.append(first, len(every)))
-            once, part = counts == 1, ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            counts = np.diff(np.append(first, len(every))).astype(np.uint32)
+            hashes = every[first]
+            del every, first
+            once, part = counts == 1, ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
             edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(hashes)) if len(hashes) else [0]
             rows = []
             for low, high in zip(edge[:-1], edge[1:], strict=True):
