@@ -94,8 +94,19 @@ def parse_import(text: Column) -> Column:
     )
 
 
+def two_decimals(value: Column) -> Column:
+    """A number as text with two decimals, rounded by its exact binary value, as printf does; format_string() rounds the shortest decimal text that stands for it."""
+    whole = F.floor(value)
+    # Both factors fit: a fraction of a number of 1/16 or more is a multiple of 2**-56, and none below is half-way between two hundredths.
+    bits = ((value - whole) * float(1 << 56)).cast("long") * 100
+    cents, rest = F.shiftright(bits, 56), bits % F.lit(1 << 56)
+    up = (rest > F.lit(1 << 55)) | ((rest == F.lit(1 << 55)) & (cents % 2 == 1))
+    cents = cents + up.cast("int")
+    text = F.concat((whole + F.floor(cents / 100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when((value >= 0) & (value < 1e15), text).otherwise(F.format_string("%.2f", value))
+
+
 def format_ns(ns: Column) -> Column:
     """A duration in nanoseconds with two decimals in the largest unit that it fills."""
-    return (
-        F.when(ns >= 1e9, F.format_string("%.2fs", ns / 1e9)).when(ns >= 1e6, F.format_string("%.2fms", ns / 1e6)).when(ns >= 1e3, F.format_string("%.2fµs", ns / 1e3)).otherwise(F.format_string("%.2fns", ns))
-    )
+    shown = lambda unit, name: F.concat(two_decimals(ns / unit), F.lit(name))
+    return F.when(ns >= 1e9, shown(1e9, "s")).when(ns >= 1e6, shown(1e6, "ms")).when(ns >= 1e3, shown(1e3, "µs")).otherwise(shown(1.0, "ns"))

@@ -1,5 +1,6 @@
 """Operators on the small graphs of the fixtures and on random ones."""
 
+import math
 import random
 from collections import deque
 
@@ -225,3 +226,13 @@ def test_imports_edges_without_an_import_node(spark):
     edges = spark.createDataFrame([(1, 2, 3, "Imports"), (2, 2, 4, "Imports"), (3, 4, 3, "Imports")], "id long, source_node_id long, target_node_id long, kind string")
     found = resolve.imports(CodeGraph(nodes, nodes, edges)).collect()
     assert sorted((r.file_id, r.node_id, r.kind, r.module, tuple(r.names)) for r in found) == [(1, 1, "Named", "os", ("os",)), (1, 2, "Named", "other", ()), (2, 4, "Named", "os", ())]
+
+
+def test_durations_round_the_exact_number(spark):
+    """As printf does: 1.005 is a little less than that, 0.125 lies half-way, 0.995 and more carry over."""
+    values = [1005.0, 1115.0, 2675.0, 1125.0, 1375.0, 999_996.0, 1000.0, 1_002_500.0, 1e9, 59_999_995e3, 0.125, 0.01, 0.0, 999.996, 123_456_789_012_345.0]
+    draw = random.Random(3)
+    values += [draw.randrange(1, 10**9) * 5.0 for _ in range(300)]
+    shown = {r.v: r.s for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", X.format_ns(F.col("v")).alias("s")).collect()}
+    unit = lambda v: (1e9, "s") if v >= 1e9 else (1e6, "ms") if v >= 1e6 else (1e3, "µs") if v >= 1e3 else (1.0, "ns")
+    assert shown == {v: "%.2f%s" % (v / unit(v)[0], unit(v)[1]) for v in values}
