@@ -59,7 +59,7 @@ def per_second(mean_ns: Column, count: Column | float = 1.0) -> Column:
 
 def report_lines(results: DataFrame) -> DataFrame:
     """Each result by group and rest of its name, with its mean, deviation and throughput as text. results: name, mean_ns, std_dev_ns, iterations."""
-    rate = per_second(F.col("mean_ns"))
+    rate = F.when(F.col("mean_ns") > 0, 1e9 / F.col("mean_ns")).otherwise(0.0)
     tenth = lambda v: F.floor(v * 10 + 0.5) / 10
     shown = F.when(rate >= 1e6, F.format_string("%.1fM ops/s", tenth(rate / 1e6))).when(rate >= 1e3, F.format_string("%.1fK ops/s", tenth(rate / 1e3))).otherwise(F.format_string("%.1f ops/s", tenth(rate)))
     rest = F.when(F.col("name").contains("/"), F.regexp_replace("name", "^[^/]*/", "")).otherwise(F.col("name"))

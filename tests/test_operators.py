@@ -236,3 +236,12 @@ def test_durations_round_the_exact_number(spark):
     shown = {r.v: r.s for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", X.format_ns(F.col("v")).alias("s")).collect()}
     unit = lambda v: (1e9, "s") if v >= 1e9 else (1e6, "ms") if v >= 1e6 else (1e3, "µs") if v >= 1e3 else (1.0, "ns")
     assert shown == {v: "%.2f%s" % (v / unit(v)[0], unit(v)[1]) for v in values}
+
+
+def test_throughput_is_of_the_mean_at_once(spark):
+    """1e9 / mean, rounded once: for 57 ns 17543859.6 and not what 1 / 57 times 1e9 may give."""
+    means = [float(m) for m in range(1, 4000)]
+    rows = spark.createDataFrame([(f"g/{m}", m, m, 1) for m in means], "name string, mean_ns double, std_dev_ns double, iterations int")
+    found = {r.mean_ns: r.throughput for r in regress.report_lines(rows).collect()}
+    shown = lambda r: f"{math.floor(r / 1e6 * 10 + 0.5) / 10:.1f}M" if r >= 1e6 else f"{math.floor(r / 1e3 * 10 + 0.5) / 10:.1f}K"
+    assert found == {m: shown(1e9 / m) + " ops/s" for m in means}
