@@ -18,16 +18,19 @@ def known_edge_kind(kind: Column) -> Column:
     return known_kind(kind, EDGE_KINDS, "References")
 
 
-def symbols(nodes: DataFrame, kind: str | None = None, name: str | None = None, file_id: int | None = None, prefix: str | None = None, limit: int = LIST_LIMIT, offset: int = 0) -> DataFrame:
-    """Nodes by any of kind, part of the name (case-insensitive, % and _ are wildcards), file and prefix of the name; by name, then id."""
+def symbols(nodes: DataFrame, kind: str | None = None, name: str | None = None, file_id: int | None = None, prefix: str | None = None, limit: int | None = LIST_LIMIT, offset: int = 0) -> DataFrame:
+    """Nodes by any of kind, part of the name (case-insensitive, % and _ are wildcards), file and prefix of the name; by name, then id, or, without a limit, all in no order."""
     for given, test in ((kind, F.col("kind") == kind), (file_id, F.col("file_id") == file_id)):
         nodes = nodes.filter(test) if given is not None else nodes
     if name is not None:
         nodes = nodes.filter(contains_like(F.col("name"), name))
     if prefix is not None:
         nodes = nodes.filter(F.col("name").startswith(prefix))
+    if limit is None and not offset:
+        return nodes
     rows = nodes.orderBy("name", "id")
-    return (rows.offset(offset) if offset else rows).limit(limit)
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
 
 
 def edges_where(edges: DataFrame, kind: str | None = None, source: int | None = None, target: int | None = None, limit: int = LIST_LIMIT) -> DataFrame:

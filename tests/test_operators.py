@@ -245,3 +245,9 @@ def test_throughput_is_of_the_mean_at_once(spark):
     found = {r.mean_ns: r.throughput for r in regress.report_lines(rows).collect()}
     shown = lambda r: f"{math.floor(r / 1e6 * 10 + 0.5) / 10:.1f}M" if r >= 1e6 else f"{math.floor(r / 1e3 * 10 + 0.5) / 10:.1f}K"
     assert found == {m: shown(1e9 / m) + " ops/s" for m in means}
+
+
+def test_symbols_without_a_limit_are_all(spark):
+    nodes = spark.range(60_000).select("id", F.lit("Function").alias("kind"), F.lit("red_rod").alias("name"), F.lit(3).cast("long").alias("file_id"))
+    assert lookup.symbols(nodes, name="RED%r", limit=None).count() == lookup.symbols(nodes, file_id=3, limit=None).count() == 60_000
+    assert lookup.symbols(nodes, file_id=3).count() == 50_000 and lookup.symbols(nodes, file_id=3, limit=None, offset=59_990).count() == 10
