@@ -1,9 +1,10 @@
 """Which spans hold a place, and what a name means there.
 
-Lines are the leaves of a binary tree. A span is cut into the fewest whole
-subtrees (two a level at most), a place belongs to the subtrees around its line, and the two
-meet in an equal join on (file, level, subtree). A place is so compared only with spans
-that hold its line, in however large a file, and no file is one group.
+Lines stand in blocks of BLOCK_LINES, the leaves of a binary tree. A span is cut into the blocks that it
+holds in part (two at most) and the fewest whole subtrees of the others (two a level at most), a place belongs to its
+block and the subtrees around it, on the levels that any span has, and the two meet in an equal join on
+(file, level, subtree). A place is so compared only with spans that hold its line or begin or end in its block, in
+however large a file, and no file is one group.
 
 Scopes: a definition is bound in the innermost scope around it, a name means the definition bound to
 it in the innermost scope around the place that binds it. Of one name bound twice in a
@@ -15,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of the tree: lines below 2**30.
+#: Levels of the tree: lines below 2**30. Lines of a block, and the level of a block held in part.
 LEVELS = 31
+BLOCK_LINES, PART_LEVEL = 16, -1
 LAST_LINE = (1 << 30) - 1
 SCOPE_KINDS = ("File", "Module", "Class", "Interface", "Function", "Method")
 
@@ -39,9 +41,21 @@ def subtrees(first: Column, last: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step)["out"]
 
 
-def around(line: Column) -> Column:
-    """The subtrees a line belongs to: an array of (level, tree)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda level: F.struct(level.alias("level"), F.floor(line / F.pow(F.lit(2.0), level)).alias("tree")))
+def pieces(first: Column, last: Column) -> Column:
+    """The lines first to last as blocks held in part and subtrees of whole blocks: an array of (level, tree)."""
+    none = F.array().cast("array<struct<level:int,tree:bigint>>")
+    low, high = F.floor(first.cast("long") / BLOCK_LINES), F.floor(last.cast("long") / BLOCK_LINES)
+    part_low = (first % BLOCK_LINES != 0) | (last < low * BLOCK_LINES + BLOCK_LINES - 1)
+    part_high = ((last + 1) % BLOCK_LINES != 0) & (high != low)
+    part = lambda test, block: F.when(test, F.array(F.struct(F.lit(PART_LEVEL).alias("level"), block.alias("tree")))).otherwise(none)
+    whole_low, whole_high = low + part_low.cast("int"), high - part_high.cast("int")
+    return F.concat(part(part_low, low), part(part_high, high), F.when(whole_low <= whole_high, subtrees(whole_low, whole_high)).otherwise(none))
+
+
+def around(line: Column, levels: Column) -> Column:
+    """The block or subtree of each of the levels that a line belongs to: an array of (level, tree)."""
+    block = F.floor(line.cast("long") / BLOCK_LINES)
+    return F.transform(levels, lambda level: F.struct(level.alias("level"), F.when(level == PART_LEVEL, block).otherwise(F.floor(block / F.pow(F.lit(2.0), level))).alias("tree")))
 
 
 def _by_subtree(rows: DataFrame, at: Column) -> DataFrame:
@@ -54,9 +68,12 @@ def holding(places: DataFrame, spans: DataFrame) -> DataFrame:
     A span that ends before it starts and, with columns, an empty one holds nothing; a null file or line is nowhere.
     """
     low, high, line = F.col("start_line"), F.col("end_line"), F.col("line")
-    cut = _by_subtree(spans.filter((low >= 0) & (high >= low)), subtrees(low, high))
-    asked = _by_subtree(places.filter((line >= 0) & (line <= LAST_LINE)), around(line))
-    found = asked.join(cut, ["file_id", "level", "tree"]).drop("level", "tree")
+    held = spans.filter((low >= 0) & (high >= low))
+    cut = _by_subtree(held, pieces(low, high))
+    levels = F.broadcast(held.select(F.explode(pieces(low, high)["level"]).alias("level")).agg(F.collect_set("level").alias("levels")))  # one row, LEVELS numbers at most
+    asked = _by_subtree(places.filter((line >= 0) & (line <= LAST_LINE)).join(levels), around(line, F.col("levels"))).drop("levels")
+    # Sizes are estimated before rows are exploded, so that a broadcast could be many times as large as it seems.
+    found = asked.hint("merge").join(cut, ["file_id", "level", "tree"]).drop("level", "tree").filter((line >= low) & (line <= high))
     if "col" not in places.columns:
         return found
     empty = (low == high) & (F.col("start_col") == F.col("end_col"))

@@ -87,3 +87,15 @@ def test_shadowing(spark):
     uses = [(0, 1, "x", 4, 5), (1, 1, "x", 8, 5), (2, 1, "f", 8, 5), (3, 1, "g", 4, 5), (4, 1, "z", 4, 5), (5, 1, "", 4, 5), (6, 2, "x", 1, 1)]
     found = places.resolve_names(spark.createDataFrame(uses, "use_id long, file_id long, name string, line int, col int"), spark.createDataFrame(nodes, "id long, kind string, name string, file_id long, start_line int, start_col int, end_line int, end_col int"))
     assert {r.use_id: r.node_id for r in found.collect()} == {0: 3, 1: 1, 2: 2, 3: 4, 4: None, 5: None, 6: None}
+
+
+def test_a_place_is_dealt_only_to_levels_that_spans_have(spark):
+    """One row a place for its block, where no span holds a whole block; pieces of a span make up its lines."""
+    line = spark.createDataFrame([(37,)], "line int")
+    assert [tuple(x) for x in line.select(places.around(F.col("line"), F.array(F.lit(-1), F.lit(1))).alias("t")).first().t] == [(-1, 2), (1, 1)]
+    for a, b in ((0, 15), (3, 7), (5, 100), (16, 47), (0, places.LAST_LINE)):
+        found = spark.range(1).select(places.pieces(F.lit(a), F.lit(b)).alias("t")).first().t
+        lines = [(t.tree * 16, t.tree * 16 + 15) if t.level < 0 else ((t.tree << t.level) * 16, ((t.tree + 1) << t.level) * 16 - 1) for t in found]
+        assert len(lines) == len(set(lines)) and min(x for x, _ in lines) == a // 16 * 16 and max(y for _, y in lines) == b // 16 * 16 + 15
+        assert all(a <= x and y <= b for (x, y), t in zip(lines, found) if t.level >= 0)
+    assert found == [(26, 0)]
