@@ -38,7 +38,9 @@ def subtrees(first: Column, last: Column) -> Column:
         right = F.when((s["low"] + odd_low < s["high"]) & (odd_high == 1), tree(level, s["high"] - 1)).otherwise(none)
         return F.struct(F.floor((s["low"] + odd_low) / 2).alias("low"), F.floor((s["high"] - odd_high) / 2).alias("high"), F.concat(s["out"], left, right).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step)["out"]
+    # What is left halves from level to level.
+    top = F.least(F.floor(F.log2((last.cast("long") - first.cast("long") + 1).cast("double"))).cast("int") + 1, F.lit(LEVELS - 1))
+    return F.aggregate(F.sequence(F.lit(0), top), start, step)["out"]
 
 
 def pieces(first: Column, last: Column) -> Column:
@@ -49,7 +51,10 @@ def pieces(first: Column, last: Column) -> Column:
     part_high = ((last + 1) % BLOCK_LINES != 0) & (high != low)
     part = lambda test, block: F.when(test, F.array(F.struct(F.lit(PART_LEVEL).alias("level"), block.alias("tree")))).otherwise(none)
     whole_low, whole_high = low + part_low.cast("int"), high - part_high.cast("int")
-    return F.concat(part(part_low, low), part(part_high, high), F.when(whole_low <= whole_high, subtrees(whole_low, whole_high)).otherwise(none))
+    cut = F.concat(part(part_low, low), part(part_high, high), F.when(whole_low <= whole_high, subtrees(whole_low, whole_high)).otherwise(none))
+    root = F.array(F.struct(F.lit(((LAST_LINE + 1) // BLOCK_LINES).bit_length() - 1).alias("level"), F.lit(0).cast("long").alias("tree")))
+    # A whole file, as each has one for a scope, needs no cutting.
+    return F.when((first == 0) & (last == LAST_LINE), root).otherwise(cut)
 
 
 def around(line: Column, levels: Column) -> Column:
