@@ -45,7 +45,7 @@ def in_ranges(df: DataFrame, *by: str) -> DataFrame:
 
 @dataclass
 class Walk:
-    """visited: node, depth, edge_path (kinds), trail (edge ids); expanded: edges that were looked at."""
+    """visited: node, depth and, with paths, edge_path (kinds) and trail (edge ids); expanded: edges that were looked at."""
 
     visited: DataFrame
     expanded: int
@@ -78,53 +78,55 @@ class Parts:
         return out
 
 
-def walk(edges: DataFrame, root: int, max_depth: int | None, reverse: bool = False, until: int | None = None, stored: bool = False) -> Walk:
-    """Everything within max_depth steps of root (None: no bound); a node at max_depth is not expanded. Stops early once the node until is reached. stored: edges are a stored table, which needs no copy."""
+def walk(edges: DataFrame, root: int, max_depth: int | None, reverse: bool = False, until: int | None = None, stored: bool = False, paths: bool = True) -> Walk:
+    """Everything within max_depth steps of root (None: no bound); a node at max_depth is not expanded. Stops early once the node until is reached. stored: edges are a stored table, which needs no copy. Without paths only ends of edges are stored and joined, and only depths found."""
     spark: SparkSession = edges.sparkSession
     source, target = ("target_node_id", "source_node_id") if reverse else ("source_node_id", "target_node_id")
-    steps = edges.select(F.col(source).alias("node"), F.col(target).alias("next"), "kind", F.col("id").alias("edge"))
+    steps = edges.select(F.col(source).alias("node"), F.col(target).alias("next"), *(["kind", F.col("id").alias("edge")] if paths else []))
     steps = steps if stored else checkpoint(steps)
     none = F.array()
-    frontier = spark.range(1).select(F.lit(root).cast("long").alias("node"), F.lit(0).alias("depth"), none.cast("array<string>").alias("edge_path"), none.cast("array<long>").alias("trail"))
+    empty = [none.cast("array<string>").alias("edge_path"), none.cast("array<long>").alias("trail")] if paths else []
+    way = [F.struct(F.array_append("trail", F.col("edge")).alias("trail"), F.array_append("edge_path", F.col("kind")).alias("edge_path")).alias("way")] if paths else []
+    frontier = spark.range(1).select(F.lit(root).cast("long").alias("node"), F.lit(0).alias("depth"), *empty)
     visited, depth, expanded, reached = Parts(), 0, 0, 0
     visited.add(frontier)
     while max_depth is None or depth < max_depth:
         # The trail ends in the edge, and an edge has one target in this direction, so the least trail is one row.
-        seen = steps.join(frontier, "node").select("next", F.struct(F.array_append("trail", F.col("edge")).alias("trail"), F.array_append("edge_path", F.col("kind")).alias("edge_path")).alias("way"))
-        found = seen.groupBy(F.col("next").alias("node")).agg(F.min("way").alias("way"), F.count("*").alias("n"))
+        seen = steps.join(frontier, "node").select("next", *way)
+        found = seen.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("n"), *([F.min("way").alias("way")] if paths else []))
         level = checkpoint(found.join(visited.union().select("node", F.lit(True).alias("old")), "node", "left"))
         sums = level.agg(F.sum("n"), F.count_if(F.col("old").isNull()), F.count_if(F.col("old").isNull() & (F.col("node") == (until if until is not None else -1)))).first()
         expanded += sums[0] or 0
         if not sums[1]:
             break
         depth, reached = depth + 1, reached + sums[1]
-        frontier = level.filter("old IS NULL").select("node", F.lit(depth).alias("depth"), "way.edge_path", "way.trail")
+        frontier = level.filter("old IS NULL").select("node", F.lit(depth).alias("depth"), *(["way.edge_path", "way.trail"] if paths else []))
         visited.add(frontier)
         if until is not None and sums[2]:
             break
     return Walk(visited.union(), expanded, reached)
 
 
-def impact(graph: CodeGraph, root: int, max_depth: int = 10, reverse: bool = False) -> DataFrame:
-    """Known nodes that the root reaches (or that reach it): node_id, name, kind, file_id, depth, edge_path."""
-    return _reported(graph, walk(graph.edges, root, max_depth, reverse, stored=graph.stored), root)
+def impact(graph: CodeGraph, root: int, max_depth: int = 10, reverse: bool = False, paths: bool = True) -> DataFrame:
+    """Known nodes that the root reaches (or that reach it): node_id, name, kind, file_id, depth and, with paths, edge_path."""
+    return _reported(graph, walk(graph.edges, root, max_depth, reverse, stored=graph.stored, paths=paths), root)
 
 
 def _reported(graph: CodeGraph, found: Walk, root: int) -> DataFrame:
     names = graph.nodes.select(F.col("id").alias("node"), "name", "kind", "file_id")
-    return found.visited.filter(F.col("node") != root).join(names, "node").select(F.col("node").alias("node_id"), "name", "kind", "file_id", "depth", "edge_path")
+    return found.visited.filter(F.col("node") != root).join(names, "node").select(F.col("node").alias("node_id"), "name", "kind", "file_id", "depth", *(c for c in ("edge_path",) if c in found.visited.columns))
 
 
 def impact_summary(graph: CodeGraph, root: int, max_depth: int = 10, reverse: bool = False) -> DataFrame:
     """One row: root, root_name ("" if unknown), total_affected, max_depth, cycle_detected."""
-    found = walk(graph.edges, root, max_depth, reverse, stored=graph.stored)
+    found = walk(graph.edges, root, max_depth, reverse, stored=graph.stored, paths=False)
     one = _reported(graph, found, root).agg(F.count("*").alias("total_affected"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
     name = graph.nodes.filter(F.col("id") == root).agg(F.coalesce(F.first("name"), F.lit("")).alias("root_name"))
     return one.join(F.broadcast(name)).select(F.lit(root).cast("long").alias("root"), "root_name", "total_affected", "max_depth", F.lit(found.cycle_detected).alias("cycle_detected"))
 
 
 def affected_files(graph: CodeGraph, root: int, max_depth: int = 10) -> DataFrame:
-    return impact(graph, root, max_depth).select("file_id").distinct()
+    return impact(graph, root, max_depth, paths=False).select("file_id").distinct()
 
 
 def subtree(graph: CodeGraph, root: int, max_depth: int = 5, callers: bool = True, callees: bool = True) -> tuple[DataFrame, DataFrame]:
