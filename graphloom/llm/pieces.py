@@ -4,7 +4,8 @@ Text is normalised by the longest prefix that the model's compiled character
 map knows, recording for each normalised character the source bytes it came
 from. Byte-pair merges run inside units that no piece can cross (a run of the
 space mark and what follows up to the next mark); a unit's pieces are kept in a
-bounded cache. Piece lengths are then projected through the alignment, so each
+bounded cache. The short units of a batch that are not in it are merged together,
+one pair of each at a time, over arrays of symbol numbers. Piece lengths are then projected through the alignment, so each
 piece has a span of bytes in the original text. Where the character map is
 empty, normalised and source bytes differ only by the space mark, and the
 alignment is arithmetic over whole arrays.
@@ -20,7 +21,8 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ MARK = "▁"
 #: Piece types in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NEVER = float("-inf")
+#: Units of at most so many characters are merged with others; characters of the texts whose units are learnt together; units merged at once.
+SHORT_UNIT, MERGED_CHARS, MERGED_UNITS = 48, 1 << 20, 1 << 16
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -63,6 +67,95 @@ class CharacterMap:
         return found[0], self.texts[found[1] : self.texts.index(b"\0", found[1])]
 
 
+class PairTable:
+    """Symbols (0: a character that no piece holds; then such characters and the pieces) and, for two of them that make a piece, that piece and its rank by score."""
+
+    def __init__(self, scores: dict[str, float], ids: dict[str, int]):
+        characters = sorted({c for p in scores for c in p} - scores.keys())
+        self.names = ["", *characters, *scores]
+        symbols = {name: s for s, name in enumerate(self.names)}
+        self.ids = np.array([ids.get(name, -1) for name in self.names], np.int32)
+        self.sizes = np.array([len(name.encode("utf-8", "surrogatepass")) for name in self.names], np.int32)
+        self.characters = np.zeros(0x110000, np.int32)
+        for name, s in symbols.items():
+            if len(name) == 1:
+                self.characters[ord(name)] = s
+        ranks = {x: r for r, x in enumerate(sorted(set(scores.values())))}
+        self.ranks = np.array([ranks[scores[name]] if name in scores else -1 for name in self.names], np.int64)
+        found = [(symbols[a] * len(self.names) + symbols[b], symbols[p]) for p in scores for cut in range(1, len(p)) if (a := p[:cut]) in symbols and (b := p[cut:]) in symbols]
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        # Open addressing: a key lies at the first free slot from its hash on.
+        self.bits = max(4, int(4 * len(pairs)).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        key, symbol, slot = pairs[:, 0], pairs[:, 1], self.slots(pairs[:, 0])
+        while len(key):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = key[free]
+            left = self.keys[slot] != key  # of several at one slot the last stays
+            self.made[slot[~left]] = symbol[~left]
+            key, symbol, slot = key[left], symbol[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The symbols that pairs make, or -1."""
+        keys = left.astype(np.int64) * len(self.names) + right
+        slot = self.slots(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.made[slot], -1)
+        look = np.flatnonzero((held != keys) & (held >= 0))
+        while len(look):
+            slot[look] = (slot[look] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[look]]
+            hit = held == keys[look]
+            out[look[hit]] = self.made[slot[look[hit]]]
+            look = look[~hit & (held >= 0)]
+        return out
+
+    def merge(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As PieceModel.merge, for all units at once: their symbols one after another, and how many each unit has."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        symbols = self.characters[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")]
+        unit, done = np.arange(len(units)), []
+        made = np.full(len(symbols), -1, np.int32)
+        made[:-1] = self.joined(symbols[:-1], symbols[1:])
+        made[np.cumsum(sizes) - 1] = -1
+        while len(unit):
+            starts = np.cumsum(sizes) - sizes
+            place = np.arange(len(symbols))
+            worth = np.where(made >= 0, (self.ranks[made] << 32) - place, -1 << 62)
+            best = np.maximum.reduceat(worth, starts)
+            on = best > -1 << 61
+            if not on.all():
+                rest = np.repeat(on, sizes)
+                done.append((unit[~on], sizes[~on], symbols[~rest]))
+                unit, sizes, symbols, made, worth = unit[on], sizes[on], symbols[rest], made[rest], worth[rest]
+                starts = np.cumsum(sizes) - sizes
+                if not len(unit):
+                    break
+            at = np.flatnonzero(worth == np.repeat(best[on], sizes))  # places differ, so there is one in each unit
+            symbols[at] = made[at]
+            stay = np.ones(len(symbols), bool)
+            stay[at + 1] = False
+            ends = np.zeros(len(symbols), bool)
+            ends[starts + sizes - 1] = True
+            ends[at] = ends[at + 1]
+            symbols, made, ends = symbols[stay], made[stay], ends[stay]
+            sizes = sizes - 1
+            at = at - np.arange(len(at))
+            first = np.cumsum(sizes) - sizes
+            right, left = at[~ends[at]], at[at > first] - 1
+            made[at] = -1
+            made[right] = self.joined(symbols[right], symbols[right + 1])
+            made[left] = self.joined(symbols[left], symbols[left + 1])
+        owner = np.concatenate([np.repeat(u, n) for u, n, _ in done])
+        counts = np.zeros(len(units), np.int64)
+        for u, n, _ in done:
+            counts[u] = n
+        return np.concatenate([x for _, _, x in done])[np.argsort(owner, kind="stable")], counts
+
+
 class PieceModel:
     def __init__(self, blob: bytes, cache_size: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2
@@ -83,6 +176,7 @@ class PieceModel:
         self.raw = [bytes([int(n[1:-1], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else n.replace(MARK, " ").encode() for n, t in zip(self.names, self.types, strict=True)]
         self.cache: dict[str, tuple[bytes, bytes, int]] = {}
         self.cache_size = cache_size
+        self.pairs: PairTable | None = None
 
     def merge(self, unit: str) -> list[str]:
         """Merge the adjacent pair of the highest score, the leftmost of equals, until none is a piece."""
@@ -127,7 +221,7 @@ class PieceModel:
     def unit(self, unit: str) -> tuple[bytes, bytes, int]:
         """Ids and byte lengths of a unit's pieces as packed 32-bit integers."""
         ids, sizes = [], []
-        for part in self.merge(unit) if len(unit) <= 48 else self.merge_long(unit):
+        for part in self.merge(unit) if len(unit) <= SHORT_UNIT else self.merge_long(unit):
             if (i := self.ids.get(part)) is not None:
                 ids.append(i)
                 sizes.append(len(part.encode()))
@@ -146,6 +240,30 @@ class PieceModel:
         self.cache[unit] = found
         return found
 
+    def learn(self, units: Iterable[str]) -> None:
+        """Puts short units that are not in the cache there, as far as it has room. Those with a character that is no piece are left to unit()."""
+        every = {u for u in set(units) if len(u) <= SHORT_UNIT}
+        new = every.difference(self.cache)
+        if len(self.cache) + len(new) > self.cache_size:
+            self.cache.clear()
+            new = every
+        new = list(new)[: self.cache_size]
+        for at in range(0, len(new), MERGED_UNITS):
+            self.learn_part(new[at : at + MERGED_UNITS])
+
+    def learn_part(self, new: list[str]) -> None:
+        self.pairs = self.pairs or PairTable(self.scores, self.ids)
+        symbols, counts = self.pairs.merge(new)
+        ids, sizes = self.pairs.ids[symbols], self.pairs.sizes[symbols]
+        ends = np.cumsum(counts)
+        known = np.minimum.reduceat(ids, ends - counts) >= 0
+        ids, sizes = ids.astype("<i4").tobytes(), sizes.astype("<i4").tobytes()
+        begin = 0
+        for u, end, n, whole in zip(new, (4 * ends).tolist(), counts.tolist(), known.tolist(), strict=True):
+            if whole:
+                self.cache[u] = ids[begin:end], sizes[begin:end], n
+            begin = end
+
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text, and for each of its bytes (and its end) the source byte it stands at."""
         source, out, at_source, at = text.encode(), [], [], 0
@@ -174,18 +292,37 @@ class PieceModel:
         align = [s[0] for x, s in spans for _ in x] + [len(source)]
         return b"".join(x for x, _ in spans).decode(), np.array(align, np.int64)
 
+    def units(self, text: str) -> tuple[list[str], np.ndarray | None]:
+        """The units of a text that is not empty, and its alignment, or None if it is plain_alignment()."""
+        if not self.map.units and self.prefix and self.escape and not self.squeeze and not self.whole:
+            if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+                return UNIT.findall(MARK + text.replace(" ", MARK)), None
+            return (MARK + text.replace(" ", f" {MARK}")).split(" "), None
+        normal, align = self.normalise(text)
+        return [normal] if self.whole and normal else UNIT.findall(normal), align
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and byte spans in the original text of all pieces."""
-        cache, plain = self.cache, not self.map.units and self.prefix and self.escape and not self.squeeze and not self.whole
+        return self.encode_units(text, *self.units(text)) if text else self.encode_units(text, [], None)
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """As encode, of each text; the units of some texts are merged together."""
+        first = 0
+        while first < len(texts):
+            end, chars = first, 0
+            while end < len(texts) and (end == first or chars + len(texts[end]) <= MERGED_CHARS):
+                chars += len(texts[end])
+                end += 1
+            split = [self.units(t) if t else ([], None) for t in texts[first:end]]
+            self.learn(chain.from_iterable(units for units, _ in split))
+            for text, (units, align) in zip(texts[first:end], split, strict=True):
+                yield self.encode_units(text, units, align)
+            first = end
+
+    def encode_units(self, text: str, units: list[str], align: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not text:
             return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        align = None
-        if plain:
-            normal = MARK + text.replace(" ", MARK)
-            units = UNIT.findall(normal) if MARK in text or "  " in text or text[0] == " " or text[-1] == " " else [MARK + w for w in text.split(" ")]
-        else:
-            normal, align = self.normalise(text)
-            units = [normal] if self.whole and normal else UNIT.findall(normal)
+        cache = self.cache
         found = [cache.get(u) or self.unit(u) for u in units]
         ids = np.frombuffer(b"".join([x[0] for x in found]), "<i4")
         ends = np.cumsum(np.frombuffer(b"".join([x[1] for x in found]), "<i4"), dtype=np.int64)
@@ -204,10 +341,9 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """Text of the pieces; bytes that are no UTF-8 become U+FFFD each, and the space that the dummy prefix made goes."""
-        raw, types = self.raw, self.types
-        ids = [i for i in ids if types[i] != CONTROL]
-        joined = b"".join([raw[i] for i in ids])
-        if ids and self.prefix and self.names[ids[0]].startswith(MARK):
+        joined = b"".join(map(self.raw.__getitem__, ids))  # a control piece has no bytes
+        first = next((i for i in ids if self.types[i] != CONTROL), None)
+        if first is not None and self.prefix and self.names[first].startswith(MARK):
             joined = joined[1:]
         return joined.decode("utf-8", "replace")
 
@@ -234,10 +370,8 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str, text_col: str,
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found, decoded = [], []
-                for text in batch.column(batch.num_columns - 1):
-                    found.append(model.encode(text.as_py()))
-                    decoded.append(model.decode(found[-1][0].tolist()))
+                found = list(model.encode_all(batch.column(batch.num_columns - 1).to_pylist()))
+                decoded = [model.decode(ids.tolist()) for ids, _, _ in found]
                 bounds = pa.array(np.concatenate(([0], np.cumsum([len(x[0]) for x in found]))).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([x[k] for x in found]))) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists, pa.array(decoded, pa.string())], names=[*batch.schema.names[:-1], "ids", "starts", "ends", "decoded"])

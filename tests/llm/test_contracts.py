@@ -671,6 +671,41 @@ def test_a_model_with_a_character_map(squeeze, prefix):
     assert [model.encode("\ufb01 xyz")[k].tolist() for k in (1, 2)][1][-1] == len("\ufb01 xyz".encode())
 
 
+def test_units_of_a_batch_are_merged_together(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    draw = np.random.default_rng(12)
+    # Pairs of equal score, pieces of characters that are no pieces, and others: against the merging of one unit.
+    for _ in range(20):
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.trainer_spec.model_type = 2
+        proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = True, False, True
+        proto.pieces.add(piece="<unk>", score=0, type=2)
+        for name in sorted({"".join(draw.choice(list("aabc\u2581\u00e9d"), draw.integers(1, 5))) for _ in range(40)}):
+            proto.pieces.add(piece=name, score=-float(draw.integers(0, 6)), type=1)
+        model = pieces.PieceModel(proto.SerializeToString())
+        units = ["".join(draw.choice(list("abcdx\u2581\u00e9\U0001f600"), draw.integers(1, 20))) for _ in range(300)]
+        symbols, counts = (table := pieces.PairTable(model.scores, model.ids)).merge(units)
+        for unit, of_unit in zip(units, np.split(symbols, np.cumsum(counts)[:-1]), strict=True):
+            parts = model.merge(unit)
+            assert [table.names[s] for s in of_unit] == [p if p in table.names else "" for p in parts], unit
+    # Whole texts, with a cache smaller than a batch's units too; known words are never merged one by one.
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as file:
+        blob = file.read()
+    texts = [" ".join("".join(draw.choice(list("abcdeinorst"), draw.integers(1, 12))) for _ in range(draw.integers(0, 40))) for _ in range(200)]
+    odd = [*texts, "", " ", "  a ", "\u2581", "x" * 200, "\U0001f600 a\u0301 \u65e5\n\n", "a\tb  c\u2581 d"]
+    for size in (400_000, 50, 1):
+        got = list(pieces.PieceModel(blob, size).encode_all(odd))
+        assert [ids.tolist() for ids, _, _ in got] == [library.encode(t) for t in odd]
+        assert [ends[-1] if len(ends) else 0 for _, _, ends in got] == [len(t.encode()) for t in odd]
+    monkeypatch.setattr(pieces.PieceModel, "merge", None)
+    assert [ids.tolist() for ids, _, _ in pieces.PieceModel(blob).encode_all(texts)] == [library.encode(t) for t in texts]
+
+
 # 9
 
 
