@@ -4,13 +4,15 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from graphloom.llm import filter_audit, lexical, suffix_dedup
+from graphloom.llm import common, filter_audit, lexical, suffix_dedup
 from test_contracts import AWKWARD, PROSE, SMALL, WORD, awkward, empty, result, rows_of, write  # noqa: F401 (fixtures)
 
 CAPITALS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -155,6 +157,36 @@ def test_suffix_dedup_at_the_ends_of_passages(spark, monkeypatch, alphabet, leng
     assert {r.id: r.n_removed for r in found if r.id is not None and r.id > 10}.items() <= {i: sum(b - a for a, b in runs) for i, runs in expected if i is not None and i > 10}.items()
 
 
+def test_suffix_dedup_holds_little_in_python(spark, monkeypatch):
+    data = np.frombuffer(random.Random(1).randbytes(suffix_dedup.CHUNK), np.uint8)
+    monkeypatch.setattr(common, "_powers", {})
+    tracemalloc.start()
+    suffix_dedup.anchors(data, np.array([0, len(data)]), 400, 96)
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 40e6 and most < 160e6
+    plans, store = [], suffix_dedup.stored_table
+    monkeypatch.setattr(suffix_dedup, "stored_table", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
+    text = "".join(random.Random(2).choices("abcdefgh ", k=900))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = suffix_dedup.repeated_spans(spark.createDataFrame([(1, "x" + text), (2, "y" + text)], "id long, text string"), "id", "text")
+        assert [r.n_removed for r in found.collect()] == [900, 900]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    python = re.compile("FlatMapCoGroupsInArrow|MapInArrow")
+    for plan in plans:  # between two Python steps is a shuffle, so that a core has one worker at a time
+        above = []
+        for line in plan.splitlines():
+            depth = len(re.match(r"[ :+-]*", line)[0])
+            above = [(d, x) for d, x in above if d < depth]
+            since = [x for _, x in above]
+            for k, x in enumerate(since):
+                assert not (python.search(line) and python.search(x)) or any("Exchange" in y for y in since[k:]), plan
+            above.append((depth, line))
+
+
+
 # 13
 
 
