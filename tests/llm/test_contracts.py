@@ -5,6 +5,7 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from random import Random
 
 import numpy as np
 import pandas as pd
@@ -207,6 +208,20 @@ def test_long_lines_and_blocks_of_a_component_give_the_same_links(spark, monkeyp
     assert sum(x[2] for x in expected.values()) > 200
 
 
+def test_sketch_of_line_dedup_takes_each_hash_once(spark):
+    draw = Random(3)
+    sets = [[draw.getrandbits(64) - (1 << 63) for _ in range(n)] + edges for n in (1, 90, 300) for edges in ([], [-(1 << 62), 0], [1 << 62])]
+    places = [-(1 << 62), 0, 1 << 62]
+    for r in spark.createDataFrame([(s,) for s in sets], "hashes array<long>").select("hashes", line_dedup.quarters(line_dedup.F.col("hashes")).alias("q")).collect():
+        wanted = [0] * 4
+        for h in r.hashes:
+            wanted[sum(h >= p for p in places)] ^= 1 << (h & 63)
+        assert [x % (1 << 64) for x in r.q] == wanted
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    made = line_dedup.classes(line_dedup.lines(df, "doc_id", "text"), line_dedup.F.array_repeat(line_dedup.F.lit(0).cast("long"), 1 << line_dedup.RARITY_BITS))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 5  # one for short sets, four for quarters of long ones
+
+
 def test_rows_made_by_line_dedup_grow_with_the_lines(spark):
     """Ten times the lines over one vocabulary: a common token alone makes no row."""
     draw, made = np.random.default_rng(8), []
