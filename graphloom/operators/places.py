@@ -53,8 +53,9 @@ def pieces(first: Column, last: Column) -> Column:
     whole_low, whole_high = low + part_low.cast("int"), high - part_high.cast("int")
     cut = F.concat(part(part_low, low), part(part_high, high), F.when(whole_low <= whole_high, subtrees(whole_low, whole_high)).otherwise(none))
     root = F.array(F.struct(F.lit(((LAST_LINE + 1) // BLOCK_LINES).bit_length() - 1).alias("level"), F.lit(0).cast("long").alias("tree")))
-    # A whole file, as each has one for a scope, needs no cutting.
-    return F.when((first == 0) & (last == LAST_LINE), root).otherwise(cut)
+    one = F.array(F.struct(F.lit(PART_LEVEL).alias("level"), low.alias("tree")))
+    # A whole file, as each has one for a scope, and a part of one block, as most spans are, need no cutting.
+    return F.when((first == 0) & (last == LAST_LINE), root).when((low == high) & part_low, one).otherwise(cut)
 
 
 def around(line: Column, levels: Column) -> Column:
@@ -67,18 +68,18 @@ def _by_subtree(rows: DataFrame, at: Column) -> DataFrame:
     return rows.withColumn("at", F.explode(at)).withColumns({"level": F.col("at.level"), "tree": F.col("at.tree")}).drop("at")
 
 
-def holding(places: DataFrame, spans: DataFrame) -> DataFrame:
+def holding(places: DataFrame, spans: DataFrame, by: tuple[str, ...] = ("file_id",), like: DataFrame | None = None) -> DataFrame:
     """Each place (file_id, line and, if it has one, col) with each span (file_id, start_line, end_line and, if places have col, start_col, end_col) that holds it, ends included.
 
-    A span that ends before it starts and, with columns, an empty one holds nothing; a null file or line is nowhere.
+    With by, places and spans meet only where these columns are equal. like: spans among which are those of spans, if they are found at less cost. A span that ends before it starts and, with columns, an empty one holds nothing; a null file or line is nowhere.
     """
     low, high, line = F.col("start_line"), F.col("end_line"), F.col("line")
-    held = spans.filter((low >= 0) & (high >= low))
+    held, known = (x.filter((low >= 0) & (high >= low)) for x in (spans, spans if like is None else like))
     cut = _by_subtree(held, pieces(low, high))
-    levels = F.broadcast(held.select(F.explode(pieces(low, high)["level"]).alias("level")).agg(F.collect_set("level").alias("levels")))  # one row, LEVELS numbers at most
+    levels = F.broadcast(known.select(F.explode(pieces(low, high)["level"]).alias("level")).agg(F.collect_set("level").alias("levels")))  # one row, LEVELS numbers at most
     asked = _by_subtree(places.filter((line >= 0) & (line <= LAST_LINE)).join(levels), around(line, F.col("levels"))).drop("levels")
     # Sizes are estimated before rows are exploded, so that a broadcast could be many times as large as it seems.
-    found = asked.hint("merge").join(cut, ["file_id", "level", "tree"]).drop("level", "tree").filter((line >= low) & (line <= high))
+    found = asked.hint("merge").join(cut, [*by, "level", "tree"]).drop("level", "tree").filter((line >= low) & (line <= high))
     if "col" not in places.columns:
         return found
     empty = (low == high) & (F.col("start_col") == F.col("end_col"))
@@ -86,10 +87,15 @@ def holding(places: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def scopes_of(nodes: DataFrame) -> DataFrame:
-    """The scopes of nodes: their spans, and one of each file that holds all of it (scope_id null)."""
-    own = nodes.filter(F.col("kind").isin(*SCOPE_KINDS)).select("file_id", F.col("id").alias("scope_id"), "start_line", "start_col", "end_line", "end_col")
-    whole = (F.lit(None).cast("long").alias("scope_id"), F.lit(0).alias("start_line"), F.lit(0).alias("start_col"), F.lit(LAST_LINE).alias("end_line"), F.lit(0).alias("end_col"))
-    return own.unionByName(nodes.select("file_id").distinct().select("file_id", *whole))
+    """The scopes of nodes: their spans, and one of each file that holds all of it (scope_id null). Where nodes have their place in the file (local_idx), it comes with the first, so that rows stay where they are."""
+    of = lambda *columns: F.struct(*(c.alias(n) for c, n in zip(columns, ("scope_id", "start_line", "start_col", "end_line", "end_col"), strict=True)))
+    own = of(F.col("id"), *(F.col(c).cast("int") for c in ("start_line", "start_col", "end_line", "end_col")))
+    whole = of(F.lit(None).cast("long"), F.lit(0), F.lit(0), F.lit(LAST_LINE), F.lit(0))
+    scope = F.col("kind").isin(*SCOPE_KINDS)
+    if "local_idx" in nodes.columns:
+        found = F.filter(F.array(F.when(F.col("local_idx") == 0, whole), F.when(scope, own)), lambda s: s.isNotNull())
+        return nodes.select("file_id", F.inline(found))
+    return nodes.filter(scope).select("file_id", own.alias("s")).unionByName(nodes.select("file_id").distinct().select("file_id", whole.alias("s"))).select("file_id", "s.*")
 
 
 def _inner() -> Column:
@@ -107,10 +113,9 @@ def bindings(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def resolve_names(uses: DataFrame, nodes: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
-    """uses (use_id, file_id, name, line, col) with node_id: what the name means there, null if nothing. nodes: id, kind, name, file_id and span."""
-    bound = bindings(nodes, scopes if scopes is not None else scopes_of(nodes))
-    # A name's scopes in a file take the place of a file.
-    bound = bound.select(F.struct("file_id", "name").alias("file_id"), "node_id", "scope_id", "start_line", "start_col", "end_line", "end_col")
-    asked = uses.select("use_id", F.struct("file_id", "name").alias("file_id"), "line", "col")
-    found = holding(asked, bound).groupBy("use_id").agg(F.max(F.struct(_inner().alias("s"), "node_id")).alias("m"))
-    return uses.join(found.select("use_id", "m.node_id"), "use_id", "left")
+    """uses (use_id, file_id, name, line, col) with node_id: what the name means there, null if nothing. nodes: id, kind, name, file_id and span. Uses and nodes that are dealt by files stay so."""
+    scopes = scopes if scopes is not None else scopes_of(nodes)
+    bound = bindings(nodes, scopes)
+    found = holding(uses.select("use_id", "file_id", "name", "line", "col"), bound, ("file_id", "name"), like=scopes)
+    meant = found.groupBy("file_id", "use_id").agg(F.max(F.struct(_inner().alias("s"), "node_id")).alias("m"))
+    return uses.join(meant.select("file_id", "use_id", "m.node_id"), ["file_id", "use_id"], "left").select(*uses.columns, "node_id")

@@ -2,6 +2,7 @@
 
 import random
 
+from graphloom import queries
 from graphloom.operators import places
 from pyspark.sql import functions as F
 
@@ -99,3 +100,36 @@ def test_a_place_is_dealt_only_to_levels_that_spans_have(spark):
         assert len(lines) == len(set(lines)) and min(x for x, _ in lines) == a // 16 * 16 and max(y for _, y in lines) == b // 16 * 16 + 15
         assert all(a <= x and y <= b for (x, y), t in zip(lines, found) if t.level >= 0)
     assert found == [(26, 0)]
+
+
+def shuffles(df):
+    """What the plan shuffles beside the rows dealt by files."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.strip() for line in plan.split("\n") if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+
+
+def test_what_is_extracted_is_shuffled_once_by_files(spark):
+    """Joins and groups within files leave the rows where they are."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("span_covering_place", "scope_resolution", "extracted_edges"):
+            found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+            assert not shuffles(found) and all("/table-" in f for f in found.inputFiles()), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_places_and_spans_meet_by_more_than_the_file(spark):
+    spans = spark.createDataFrame([(1, "a", 1, 1, 9), (1, "b", 2, 1, 40), (2, "a", 3, 1, 9)], "file_id long, name string, id long, start_line int, end_line int")
+    points = spark.createDataFrame([(1, "a", 5), (1, "b", 20), (1, "b", 41), (2, "b", 5)], "file_id long, name string, line int")
+    for like in (None, spans.unionByName(spans.withColumn("end_line", F.lit(900)))):
+        found = places.holding(points, spans, ("file_id", "name"), like)
+        assert sorted((r.file_id, r.name, r.line, r.id) for r in found.collect()) == [(1, "a", 5, 1), (1, "b", 20, 2)]
+
+
+def test_scopes_are_the_same_with_places_in_the_file(spark):
+    rows = [(1, 1, "Variable", 0), (2, 1, "Function", 1), (3, 2, "Class", 0)]
+    nodes = spark.createDataFrame([(i, f, k, n, 1, 1, 9, 9) for i, f, k, n in rows], "id long, file_id long, kind string, local_idx int, start_line int, start_col int, end_line int, end_col int")
+    key = lambda r: str(tuple(r))
+    assert sorted(places.scopes_of(nodes).collect(), key=key) == sorted(places.scopes_of(nodes.drop("local_idx")).collect(), key=key)
