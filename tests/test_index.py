@@ -1,9 +1,10 @@
 """Discovery, stored versions, incremental refresh and the watch stream."""
 
 import json
+import pathlib
 import time
 
-from graphloom.operators import metrics, search
+from graphloom.operators import metrics, search, traverse
 from graphloom.operators.store import GraphStore
 from graphloom.plans.index import refresh
 from graphloom.sources.files import discover, ignored
@@ -130,3 +131,14 @@ def test_versions_touch_only_what_changed(spark, tmp_path):
     assert refresh(spark, discover(spark, str(root), paths=["m5.py", "none.py"]), store.folder, examined=some).first()[1:3] == (0, 1)
     assert {"m6.py"} == {r.relative_path for r in store.read().files.collect()} & {"m5.py", "m6.py"}
     assert store.has_table("nodes") and not GraphStore(spark, str(tmp_path / "none")).has_table("nodes")
+
+
+def test_a_refresh_writes_texts_and_store_rows_once(spark, tmp_path):
+    """Beside the store no table holds its rows with their group, and one table the texts."""
+    root, held = tmp_path / "src", pathlib.Path(traverse.checkpoint_dir(spark).removeprefix("file:"))
+    write(root, a_dot_py="def f():\n    g()\n\ndef g():\n    pass\n", b_dot_py="class C:\n    def m(self):\n        pass\n")
+    before = set(held.glob("table-*"))
+    refresh(spark, discover(spark, str(root)), str(tmp_path / "store"))
+    columns = [set(spark.read.parquet(str(t)).columns) for t in set(held.glob("table-*")) - before]
+    assert sum("content" in c for c in columns) == 1
+    assert not [c for c in columns if "grp" in c and c & {"indexed_at", "properties", "fan_in"}]
